@@ -1,0 +1,26 @@
+"""Queries of the training-data operators, and SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from evigraph.llm import pages
+from evigraph.runtime import table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.furniture_lines(table(spark, sf_dir, "source_documents"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.residue_records(table(spark, sf_dir, "source_documents"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p1_found": p1_found, "p3_found": p3_found}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
