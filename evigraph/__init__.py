@@ -1,3 +1,10 @@
 """evigraph: evidence-linked knowledge-graph analytics on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions for Python workers travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"
