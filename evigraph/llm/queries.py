@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import pages
+from evigraph.llm import packing, pages, tokens
 from evigraph.runtime import table
 
 
@@ -18,8 +18,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.residue_records(table(spark, sf_dir, "source_documents"))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"), "byte_bpe_50k")
+
+
+def p8_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_by_specs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_specs"), tokens.token_sizes)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p7_ids": p7_ids, "p8_placements": p8_placements}
 
 
 def oracle_sql() -> dict[str, str]:
