@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import packing, pages, tokens
+from evigraph.llm import neardup, packing, pages, tokens
 from evigraph.runtime import table
 
 
@@ -18,6 +18,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.residue_records(table(spark, sf_dir, "source_documents"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_pairs(neardup.page_texts(table(spark, sf_dir, "source_documents")))
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies and links by the default of five words and a similarity of 0.8."""
+    return neardup.near_duplicate_classes(neardup.page_texts(table(spark, sf_dir, "source_documents")), 5, 0.8)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "byte_bpe_50k")
 
@@ -27,7 +36,7 @@ def p8_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p7_ids": p7_ids, "p8_placements": p8_placements}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_placements": p8_placements}
 
 
 def oracle_sql() -> dict[str, str]:
