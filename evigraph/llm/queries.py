@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import neardup, packing, pages, tokens
+from evigraph.llm import neardup, packing, pages, tokens, truncation
 from evigraph.runtime import table
 
 
@@ -18,6 +18,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.residue_records(table(spark, sf_dir, "source_documents"))
 
 
+def _cut_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_values(truncation.text_values(table(spark, sf_dir, "source_documents"), table(spark, sf_dir, "triplet_records")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_values(spark, sf_dir).where("is_cut").select("record_kind", "record_id")
+
+
+def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_share(_cut_values(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(neardup.page_texts(table(spark, sf_dir, "source_documents")))
 
@@ -36,7 +48,7 @@ def p8_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_placements": p8_placements}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_share": p5_share, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_placements": p8_placements}
 
 
 def oracle_sql() -> dict[str, str]:
