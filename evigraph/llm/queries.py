@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import neardup, packing, pages, tokens, truncation
+from evigraph.llm import neardup, packing, pages, subjects, tokens, truncation
 from evigraph.runtime import table
 
 
@@ -47,8 +47,16 @@ def p8_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_by_specs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_specs"), tokens.token_sizes)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.document_subjects(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_share": p5_share, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_placements": p8_placements}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_share": p5_share, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_placements": p8_placements, "p9_found": p9_found, "p9_composition": p9_composition}
 
 
 def oracle_sql() -> dict[str, str]:
