@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import neardup, packing, pages, subjects, tokens, truncation
+from evigraph.llm import neardup, packing, pages, splitting, subjects, tokens, truncation
 from evigraph.runtime import table
 
 
@@ -18,6 +18,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.residue_records(table(spark, sf_dir, "source_documents"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.split_documents(table(spark, sf_dir, "source_documents"), table(spark, sf_dir, "settings_config"), with_text=False)
+    return pieces.select("settings_id", "document_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_documents(table(spark, sf_dir, "source_documents"), table(spark, sf_dir, "settings_config"))
+
+
 def _cut_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_values(truncation.text_values(table(spark, sf_dir, "source_documents"), table(spark, sf_dir, "triplet_records")))
 
@@ -56,8 +65,18 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_share": p5_share, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_placements": p8_placements, "p9_found": p9_found, "p9_composition": p9_composition}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_share": p5_share, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_placements": p8_placements, "p9_found": p9_found, "p9_composition": p9_composition}
+
+
+P4_SQL = r"""
+SELECT DISTINCT s.settings_id AS settings_id, d.document_id AS document_id
+FROM source_documents d JOIN settings_config s ON CASE s.chunk_unit
+    WHEN 'words' THEN len(regexp_extract_all(d.content, '[^ \t\n\r]+'))
+    WHEN 'chars' THEN length(d.content)
+    WHEN 'bytes' THEN strlen(d.content) END > s.chunk_size
+WHERE d.content IS NOT NULL
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4_SQL}
