@@ -33,8 +33,8 @@ from evigraph.runtime import cut
 RADIUS = 2
 #: Pivots are one in PER_PIVOT words, MIN_PIVOTS to MAX_PIVOTS; replicas of a cell are cut into blocks of about BLOCK.
 PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS, BLOCK = 100, 8, 256, 20_000
-#: Words shorter than this are compared at radius 1, and not at all below MIN_WORD.
-LONG_WORD, MIN_WORD = 8, 4
+#: Words shorter than this are compared at radius 1 (or two letters exchanged), and not at all below MIN_WORD.
+LONG_WORD, MIN_WORD = 6, 4
 
 # --- Fixed values: words of names. ---
 LEGAL = "ag gmbh group partners holdings incorporated limited company corporation sa plc llc".split()
@@ -194,7 +194,7 @@ def _join_cell(f: pd.DataFrame) -> pd.DataFrame:
                 continue
             dist = distances(w, matrix[at], lengths[at])
             for i, x in zip(at, dist):
-                if 0 < x <= (RADIUS if min(len(w), lengths[i]) >= LONG_WORD else 1):
+                if 0 < x <= (RADIUS if min(len(w), lengths[i]) >= LONG_WORD or sorted(w) == sorted(words[i]) else 1):
                     out.append((w, int(n), words[i], int(counts[i]), int(x)))
     return pd.DataFrame(out, columns=["word", "n", "other", "m", "distance"])
 
@@ -258,7 +258,13 @@ def name_entities(entities: DataFrame, triplets: DataFrame) -> DataFrame:
     people = groups.where("kind = 'person'").select("stem", "given", "mark", "entity")
     short = parsed.where("bare IS NOT NULL AND bare <> ''").select("name", "stem", "bare")
     fits = (F.substring("given", 1, 1) == F.substring("bare", 1, 1)) & ((F.length("bare") == 1) | (F.col("mark") == "") | F.col("mark").startswith(F.substring("bare", 2, 1)))
-    by_initial = short.join(people, "stem").where(fits).groupBy("name").agg(F.count("*").alias("k"), F.min("entity").alias("entity")).where("k = 1").select("name", "entity")
+    # "Stem P.A." for "Stem Pharma AG": first letters of the lines of business and the legal form
+    firms = groups.where("kind = 'organisation'").select("stem", "entity", F.array_join(F.array_sort(F.transform(F.filter(F.split(F.concat_ws(" ", "given", "mark"), " "), lambda w: w != ""), lambda w: F.substring(w, 1, 1))), "").alias("letters"))
+    letters = F.array_join(F.array_sort(F.filter(F.split("bare", ""), lambda c: c != "")), "")
+    candidates = short.join(people, "stem").where(fits).select("name", "entity").unionByName(
+        short.where(F.length("bare") > 1).join(firms, "stem").where(F.col("letters") == letters).select("name", "entity")
+    )
+    by_initial = candidates.groupBy("name").agg(F.count("*").alias("k"), F.min("entity").alias("entity")).where("k = 1").select("name", "entity")
     alone = parsed.where("bare = ''").select("name", "stem").join(groups, "stem").groupBy("name").agg(F.count("*").alias("k"), F.min("entity").alias("entity")).where("k = 1").select("name", "entity")
     initials = short.join(by_initial, "name", "left_anti").select("name", F.concat(F.lit("initials|"), "stem", F.lit("|"), "bare").alias("entity"))
     found = full.select("name", "entity").unionByName(by_initial).unionByName(alone).unionByName(initials)

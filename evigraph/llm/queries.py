@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import neardup, packing, pages, splitting, subjects, tokens, truncation
+from evigraph.llm import names, neardup, packing, pages, splitting, subjects, tokens, truncation
 from evigraph.runtime import table
 
 
@@ -14,6 +14,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.furniture_lines(table(spark, sf_dir, "source_documents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_pairs(table(spark, sf_dir, "entity_records"), table(spark, sf_dir, "triplet_records"))
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.name_entities(table(spark, sf_dir, "entity_records"), table(spark, sf_dir, "triplet_records"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.residue_records(table(spark, sf_dir, "source_documents"))
 
@@ -65,7 +73,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_share": p5_share, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_placements": p8_placements, "p9_found": p9_found, "p9_composition": p9_composition}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_share": p5_share, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_placements": p8_placements, "p9_found": p9_found, "p9_composition": p9_composition}
 
 
 P4_SQL = r"""
