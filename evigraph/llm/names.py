@@ -78,7 +78,7 @@ def fold(s: str) -> str:
 def read_name(name: str) -> tuple[str, list[str], list[str], list[str], list[str]]:
     """kind (person, organisation, other), full words, initials, words of business, legal forms."""
     s = re.sub(r"[\"“”«»][^\"“”«»]*[\"“”«»]", " ", unicodedata.normalize("NFKC", name))
-    s = re.sub(r"\(([A-Z]{2,6})\)", " ", s)
+    s = re.sub(r"\(([A-Za-z]{2,6})\)", " ", s)
     head, comma, tail = s.partition(",")
     s = fold(s)
     s = re.sub(r"\bs\. ?a\.?(?=\W|$)", " sa ", s).replace("int'l", "intl")
