@@ -22,12 +22,12 @@ def compact_constraints(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[-* \t]+|[-* \t]+$", "")), lambda x: x != ""), " ")
 
 
-#: Code point ranges read as Chinese characters.
-CJK_RANGES = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}"
+#: Code point ranges read as Chinese, Korean or Japanese.
+CJK_RANGES = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{AC00}-\x{D7AF}\x{3040}-\x{30FF}"
 
 
 def detect_language(text: Column, share: float = 0.30) -> Column:
-    """zh where more than ``share`` of the characters are Chinese, else en; empty and null texts are en."""
+    """zh where more than ``share`` of the characters are in these ranges, else en; empty and null texts are en."""
     n = F.length(text)
     return F.when((n > 0) & (F.length(F.regexp_replace(text, f"[^{CJK_RANGES}]", "")) / F.greatest(n, F.lit(1)) > share), "zh").otherwise("en")
 
@@ -40,8 +40,9 @@ def looks_binary(text: Column, sample: int = 1024, share: float = 0.3) -> Column
 
 
 def pdf_text_is_sparse(text: Column, size_bytes: Column) -> Column:
-    """Fewer letters and digits than max(500, 500 per 50,000 bytes)."""
-    return F.length(F.regexp_replace(text, r"\s", "")) < F.greatest(F.lit(500), F.floor(size_bytes / 50_000) * 500)
+    """Fewer characters, white space and punctuation apart, than max(500, 500 per 50,000 bytes); always for null or empty text."""
+    kept = F.length(F.regexp_replace(text, r"""[\s'".,;:!?\-–—()\[\]{}|/]""", ""))
+    return F.coalesce(kept, F.lit(0)) < F.greatest(F.lit(500), F.floor(size_bytes / 50_000) * 500)
 
 
 def statement(subject: Column, predicate: Column, obj: Column) -> Column:
@@ -83,23 +84,23 @@ def source_links(urls: Column) -> Column:
 
 
 #: Names of model providers.
-PROVIDERS = {"openai": "openai", "open-ai": "openai", "azure": "openai", "gpt": "openai", "ollama": "ollama", "local": "ollama"}
+PROVIDERS = {"openai-compatible": "openai", "openai_compatible": "openai", "siliconflow": "openai", "online": "openai"}
 
 
 def provider(name: Column) -> Column:
-    low = F.lower(F.trim(name))
+    low = F.lower(F.trim(F.coalesce(F.nullif(name, F.lit("")), F.lit("ollama"))))
     out = low
     for alias, value in PROVIDERS.items():
         out = F.when(low == alias, value).otherwise(out)
     return out
 
 
-#: Words of errors that don't pass, that pass, of size limits and of connections, of quotas.
-PERMANENT = "404|403|401|not found|forbidden|invalid url|unsupported|certificate"
-TRANSIENT = "timeout|timed out|temporar|reset|refused|unavailable|429|502|503|504|too many requests|network"
-TOO_LARGE = "context length|context window|maximum context|token limit|too long|exceeds"
-CONNECTION = "connection|connect|refused|timeout|timed out|unreachable"
-QUOTA = "quota|rate limit|429|too many requests|limit exceeded|usage limit"
+#: Parts of messages of errors that stay, of errors that pass, of size limits, of connections, of quotas.
+PERMANENT = "404|403|401|invalid url|net::err_name_not_resolved|net::err_aborted"
+TRANSIENT = "timeout|timed out|connection reset|connection refused|dns|network|eof occurred|broken pipe|temporarily unavailable|429|503"
+TOO_LARGE = "exceed|context length|input length"
+CONNECTION = "refused|10061|timeout|timed out|connection reset"
+QUOTA = "quota|rate.?limit|daily.?limit|limit.?exceeded|too.?many.?request|429"
 
 
 def error_class(message: Column) -> Column:
