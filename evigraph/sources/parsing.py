@@ -50,22 +50,38 @@ def triplet_rows(parsed: DataFrame, key: str, iteration: int) -> DataFrame:
 
 
 def requirements(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, query, user_prompt, constraints of Markdown with "## Section" headings; the query falls back to the first heading,
-    then the first line."""
-    sections = F.slice(F.split(text, r"(?m)^##\s+"), 2, 1000)
-    pairs = F.transform(sections, lambda s: F.struct(F.lower(F.trim(F.substring_index(s, "\n", 1))).alias("k"), F.trim(F.regexp_replace(s, r"^[^\n]*\n?", "")).alias("v")))
-    def section(*names: str):
-        return F.try_element_at(F.transform(F.filter("_p", lambda x: x["k"].isin(*names) & (x["v"] != "")), lambda x: x["v"]), F.lit(1))
-    title = F.nullif(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1), F.lit(""))
-    first = F.nullif(F.regexp_extract(text, r"(?m)^\s*([^#\s].*)$", 1), F.lit(""))
-    d = df.withColumn("_p", pairs)
-    return d.select(key, F.coalesce(section("topic", "query", "research question"), title, first).alias("query"), F.concat_ws("\n\n", section("research focus", "focus"), section("background")).alias("user_prompt"), F.coalesce(section("constraints"), F.lit("")).alias("constraints"))
-
-
-#: Settings read for thresholds, with their defaults.
-THRESHOLDS = {"size": 2000, "overlap": 150, "concurrent_requests": 8, "max_length": 2000}
+    """key, query, user_prompt, constraints of Markdown with "## Section" headings.
+
+    With a topic section it is the query and the other sections (prompt and constraints apart) the prompt; with other sections
+    alone all text before and in them is the query; without sections a heading on the first line is the query and the whole
+    text the prompt, else the whole text is the query. An empty query falls back to the whole text.
+    """
+    raw = F.col(text)
+    parts = F.split(raw, r"(?m)^##[ \t]+(?=\S)")
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    pairs = F.transform(F.slice(parts, 2, 100_000), lambda s: F.named_struct(F.lit("k"), F.lower(trim(F.substring_index(s, "\n", 1))), F.lit("v"), trim(F.regexp_replace(s, r"^[^\n]*\n?", ""))))
+    d = df.select(key, raw.alias("_raw"), trim(F.element_at(parts, 1)).alias("_head"), pairs.alias("_p"))
+    def of(name: str):
+        return F.try_element_at(F.transform(F.filter("_p", lambda x: x["k"] == name), lambda x: x["v"]), F.lit(-1))
+    def rest(*skip: str):
+        return F.transform(F.filter("_p", lambda x: ~x["k"].isin(*skip) & (x["v"] != "")), lambda x: x["v"])
+    blank = lambda c: F.nullif(c, F.lit(""))
+    heading = blank(F.regexp_extract(F.regexp_replace(F.substring_index("_raw", "\n", 1), r"^\s+|\s+$", ""), r"^#{1,3}\s+(.+)$", 1))
+    topic, sections = of("topic").isNotNull(), F.size("_p") > 0
+    context = F.array_join(rest("topic", "prompt", "constraints"), "\n\n")
+    joined = F.array_join(F.filter(F.concat(F.array("_head"), rest("prompt", "constraints")), lambda x: x != ""), "\n\n")
+    query = F.when(topic, of("topic")).when(sections, joined).otherwise(F.coalesce(heading, "_raw"))
+    return d.select(
+        key, F.coalesce(blank(query), "_raw").alias("query"), F.when(topic, blank(context)).when(~sections & heading.isNotNull(), F.col("_raw")).alias("user_prompt"),
+        F.when(sections, blank(of("constraints"))).alias("constraints"),
+    )
+
+
+#: Settings read for thresholds, the key each is written as, and its default.
+THRESHOLDS = {"chunk_size": ("size", 2000), "overlap": ("overlap", 150), "batch_size": ("batch_size", 8), "batch_max_tokens": ("batch_max_tokens", 2000)}
 
 
 def thresholds(df: DataFrame, key: str, text: str) -> DataFrame:
     """key and the first value of each setting of THRESHOLDS, else its default."""
-    return df.select(key, *[F.coalesce(F.nullif(F.regexp_extract(text, rf"(?m)^\s*{name}:\s*(\d+)", 1), F.lit("")).try_cast("int"), F.lit(default)).alias(name) for name, default in THRESHOLDS.items()])
+    found = lambda name: F.nullif(F.regexp_extract(text, rf"(?m)^\s*{name}:\s*(\d+)", 1), F.lit("")).try_cast("int")
+    return df.select(key, *[F.coalesce(found(name), F.lit(default)).alias(out) for out, (name, default) in THRESHOLDS.items()])
