@@ -127,12 +127,15 @@ class RunStore:
 
     def note(self, **values) -> None:
         now = datetime.now(timezone.utc).isoformat()
+        text = dumps({"run_id": self.run_id, "started_at": now} | self.manifest() | values | {"updated_at": now})
         with open(f"{self.folder}/manifest.json", "w", encoding="utf-8") as f:
-            f.write(dumps({"run_id": self.run_id, "started_at": now} | self.manifest() | values | {"updated_at": now}))
+            f.write(text)
 
     def save(self, state: State) -> State:
         """Writes the relations of an iteration and reads them back."""
         name = f"iter-{state.iteration:03d}"
+        while os.path.exists(f"{self.folder}/{name}"):  # a save may still be read by the state it came from
+            name += "r"
         out = {}
         for r, df in state.relations.items():
             path = f"{self.folder}/{name}/{r}"

@@ -186,7 +186,7 @@ def converted_documents(spark: SparkSession, folder: str, include_code: bool = F
     both = plain.unionByName(rich).where(r"text RLIKE '\\S'")
     label = F.when(F.col("class").isin("excel", "code", "ocr"), F.col("class")).when(F.col("class") == "slides", "pptx").when(F.col("class") == "fallback", "txt").otherwise(F.regexp_replace(ingest.extension(F.col("path")), r"^\.", ""))
     full = F.concat(ingest.metadata_header(F.col("path")), "text")
-    return both.select(F.col("path").alias("source_path"), F.col("name").alias("target_path"), F.element_at(F.split("path", "/"), -1).alias("title"), label.alias("format"), full.alias("text"), F.length("text").alias("char_count"))
+    return both.select(F.col("path").alias("source_path"), F.col("name").alias("target_path"), F.element_at(F.split("path", "[/!]"), -1).alias("title"), label.alias("format"), full.alias("text"), F.length("text").alias("char_count"))
 
 
 def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
