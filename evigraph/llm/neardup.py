@@ -134,8 +134,8 @@ def sketches(texts: DataFrame, shingle: int = SHINGLE, families: int = FAMILIES)
 def similar_classes(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """class_a < class_b, shared, similarity: pairs of different sets with a Jaccard similarity from ``similarity`` on."""
     one = sketched.dropDuplicates(["class"])
-    tables = sketched.select("class", "n", "keys").groupBy("class").agg(F.min("n").alias("n"), F.min("keys").alias("keys")).select("class", "n", F.explode("keys").alias("key"))
-    tables = cut(tables, "tables")
+    # equal sets have equal keys, so any row stands for its class
+    tables = sketched.groupBy("class").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys")).select("class", "n", F.explode("keys").alias("key"))
     a, b = tables.select("key", F.col("class").alias("class_a"), F.col("n").alias("na")), tables.select("key", F.col("class").alias("class_b"), F.col("n").alias("nb"))
     near = a.join(b, "key").where("class_a < class_b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("class_a", "class_b").distinct()
     near = cut(near, "candidates")
