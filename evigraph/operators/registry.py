@@ -11,15 +11,24 @@ def upsert_entities(mentions: DataFrame, order: list[str]) -> DataFrame:
 
     The first type stands, null or not; the description is the first non-empty one; the first mention's aliases stay as they
     are and later ones add what is new and not empty; documents are distinct. Blank names are skipped. Confidence is null.
+    Grouped by (name, alias) and (name, document) first, so a name with a third of all mentions never gathers them in one task.
+    ``order`` must be total within a name.
     """
     m = mentions.withColumn("name", F.trim("name")).where("name <> ''")
-    row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], "type", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "description", F.col("document_id").alias("doc"))
-    g = m.groupBy("name").agg(F.array_sort(F.collect_list(row)).alias("r"))
-    rest = F.expr("filter(flatten(transform(slice(r, 2, greatest(size(r) - 1, 1)), x -> x.aliases)), a -> a <> '')")
-    return g.select(
-        F.col("name").alias("canonical_name"), F.expr("r[0].type").alias("type"), F.concat(F.expr("r[0].aliases"), F.array_except(rest, F.expr("r[0].aliases"))).alias("aliases"),
-        F.coalesce(F.expr("try_element_at(filter(transform(r, x -> x.description), x -> x <> ''), 1)"), F.expr("r[0].description")).alias("description"),
-        F.array().cast("array<string>").alias("evidence_refs"), F.expr("array_distinct(filter(transform(r, x -> x.doc), x -> x <> ''))").alias("source_document_ids"),
+    m = m.select("name", F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("o"), "type", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "description", F.col("document_id").alias("doc"))
+    filled = F.when(F.col("description") != "", F.col("o"))
+    first = m.groupBy("name").agg(F.min_by(F.struct("type", "aliases", "description"), "o").alias("f"), F.min_by("description", filled).alias("d"), F.min(filled).alias("has"))
+
+    def ordered(rows: DataFrame, value: str, out: str) -> DataFrame:
+        at = rows.groupBy("name", value).agg(F.min("at").alias("at"))
+        return at.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", value))), lambda x: x[value]).alias(out))
+
+    aliases = ordered(m.select("name", "o", F.posexplode("aliases").alias("p", "alias")).where("alias <> ''").select("name", "alias", F.struct("o", "p").alias("at")), "alias", "more")
+    docs = ordered(m.where("doc <> ''").select("name", "doc", F.col("o").alias("at")), "doc", "docs")
+    none = F.array().cast("array<string>")
+    return first.join(aliases, "name", "left").join(docs, "name", "left").select(
+        F.col("name").alias("canonical_name"), F.col("f.type").alias("type"), F.concat("f.aliases", F.array_except(F.coalesce("more", none), F.col("f.aliases"))).alias("aliases"),
+        F.when(F.col("has").isNotNull(), F.col("d")).otherwise(F.col("f.description")).alias("description"), none.alias("evidence_refs"), F.coalesce("docs", none).alias("source_document_ids"),
         F.lit(None).cast("double").alias("confidence"),
     )
 
