@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from evigraph.runtime import cut
 
 RADIUS = 2
-#: Pivots are one in PER_PIVOT words, MIN_PIVOTS to MAX_PIVOTS; replicas of a cell are cut into blocks of about BLOCK.
-PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS, BLOCK = 100, 8, 256, 20_000
+#: Pivots are one in PER_PIVOT words, MIN_PIVOTS to MAX_PIVOTS; replicas of a cell are cut into blocks of about BLOCK,
+#: the words at home in it into shares of about HOMES.
+PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS, BLOCK, HOMES = 100, 8, 256, 20_000, 2_000
 #: Words shorter than this are compared at radius 1 (or two letters exchanged), and not at all below MIN_WORD.
 LONG_WORD, MIN_WORD = 6, 4
 
@@ -179,8 +180,7 @@ def _cells(pivots: list[str]):
 
 
 def _join_cell(f: pd.DataFrame) -> pd.DataFrame:
-    home, near = f[f["home"]], f[~f["home"] | (f["part"] >= 0)]
-    near = near[near["part"] >= 0]
+    home, near = f[f["home"]], f[f["part"] >= 0]
     out = []
     if len(home) and len(near):
         words = near["word"].tolist()
@@ -210,13 +210,14 @@ def close_words(words: DataFrame) -> DataFrame:
     tasks = max(1, min(512, size // 500))
     placed = cut(asked.repartition(tasks).mapInPandas(_cells(pivots), "cell int, word string, n long, d int, home boolean"), "cells")
     radius = placed.where("home").groupBy("cell").agg(F.max("d").alias("r"))
-    blocks = max(1, -(-size // BLOCK))
+    blocks, homes = max(1, -(-size // BLOCK)), max(1, -(-size // (len(pivots) * HOMES)))
     near = placed.join(F.broadcast(radius), "cell").where(F.col("d") <= F.col("r") + RADIUS).select(
-        "cell", "word", "n", "d", F.lit(False).alias("home"), F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("part"), F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("block")
+        "cell", "word", "n", "d", F.lit(False).alias("home"), F.lit(0).alias("part"), F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(homes - 1))).alias("share"),
     )  # at most MAX_PIVOTS rows are broadcast
-    home = placed.where("home").select("cell", "word", "n", "d", "home", F.lit(-1).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    home = placed.where("home").select("cell", "word", "n", "d", "home", F.lit(-1).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("word"), F.lit(homes)).cast("int").alias("share"))
     both = home.unionByName(near)
-    return both.groupBy("cell", "block").applyInPandas(_join_cell, "word string, n long, other string, m long, distance int")
+    return both.groupBy("cell", "block", "share").applyInPandas(_join_cell, "word string, n long, other string, m long, distance int")
 
 
 def spellings(words: DataFrame) -> DataFrame:

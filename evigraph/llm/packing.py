@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from evigraph.runtime import cut
 
-#: Tasks that number the documents of one length.
-SALTS = 32
+#: Documents are spread over one salt for so many rows, MIN_SALTS at least; a salt numbers its documents of each length.
+ROWS_PER_SALT, MIN_SALTS = 200_000, 8
 
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -74,7 +74,7 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tupl
 def fill_containers(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """key, piece_no (from 1), piece_tokens, container_id (bigint from 0, null for size 0): each item's place.
 
-    ``sizes`` is read three times; hand in a written table. Rows repeating a key are items of their own. Null sizes count as 0.
+    ``sizes`` is read four times; hand in a written table. Rows repeating a key are items of their own. Null sizes count as 0.
     """
     if capacity < 1:
         raise ValueError("capacity must be 1 or more")
@@ -83,26 +83,20 @@ def fill_containers(sizes: DataFrame, capacity: int, key: str = "doc_id", size:
     base = sizes.select(F.col(key).alias("key"), n.alias("n"))
     rest = F.when(F.col("n") <= capacity, F.col("n")).otherwise(F.pmod("n", F.lit(capacity)))
     base = base.select("key", "n", F.floor(F.when(F.col("n") > capacity, F.col("n") / capacity).otherwise(0)).cast("long").alias("whole"), rest.alias("rest"))
-    base = base.select("*", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
-    counts = base.groupBy("rest", "salt").agg(F.count("*").alias("c"))  # at most (capacity + 1) x SALTS rows
-    counted = counts.select("rest", "salt", "c").collect()
-    histogram: dict[int, int] = {}
-    for r in counted:
-        histogram[r["rest"]] = histogram.get(r["rest"], 0) + r["c"]
+    salts = max(MIN_SALTS, -(-sizes.count() // ROWS_PER_SALT))
+    base = base.select("*", F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"))
+    counts = cut(base.groupBy("rest", "salt").agg(F.count("*").alias("c")), "counts")
+    histogram = {r["rest"]: r["c"] for r in counts.groupBy("rest").agg(F.sum("c").alias("c")).collect()}  # at most capacity + 1 rows
     runs, used = plan_containers(histogram, capacity)
-    shifts, seen = [], {}
-    for r in sorted(counted, key=lambda r: (r["rest"], r["salt"])):
-        shifts.append((r["rest"], r["salt"], seen.get(r["rest"], 0)))
-        seen[r["rest"]] = seen.get(r["rest"], 0) + r["c"]
-    shift = spark.createDataFrame(shifts, "rest long, salt long, shift long")
+    earlier = Window.partitionBy("rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a salt
+    shift = counts.select("rest", "salt", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("shift"))
     by_length: dict[int, list] = {}
     for length, first, last, container, each in runs:
         by_length.setdefault(length, []).append((first, last, container, each))
     plan = spark.createDataFrame([(k, v) for k, v in by_length.items()], "rest long, runs array<struct<a:long,b:long,c:long,k:long>>")
     local = F.row_number().over(Window.partitionBy("rest", "salt").orderBy(F.xxhash64("key", F.lit(1)), "key")) - 1
-    # both tables are bounded by the capacity, not by the corpus
-    ranked = base.select("*", local.alias("local")).join(F.broadcast(shift), ["rest", "salt"]).select("key", "n", "whole", "rest", (F.col("local") + F.col("shift")).alias("rank"))
-    placed = ranked.join(F.broadcast(plan), "rest", "left")
+    ranked = base.select("*", local.alias("local")).join(shift, ["rest", "salt"]).select("key", "n", "whole", "rest", (F.col("local") + F.col("shift")).alias("rank"))
+    placed = ranked.join(F.broadcast(plan), "rest", "left")  # the plan is bounded by the capacity, not by the corpus
     run = F.expr("filter(runs, x -> rank BETWEEN x.a AND x.b)[0]")
     placed = placed.select("key", "n", "whole", "rest", "rank", run.alias("r")).select(
         "*", F.when(F.col("rest") > 0, F.col("r.c") + F.floor((F.col("rank") - F.col("r.a")) / F.col("r.k")).cast("long")).alias("container_id")
@@ -110,7 +104,7 @@ def fill_containers(sizes: DataFrame, capacity: int, key: str = "doc_id", size:
     last = placed.where("rest > 0 OR whole = 0").select("key", (F.col("whole") + 1).cast("int").alias("piece_no"), F.col("rest").cast("int").alias("piece_tokens"), "container_id")
     # whole pieces of oversized texts: containers of their own, numbered behind the planned ones by the text's key range
     big = base.where("whole > 0")
-    heads = big.groupBy("salt").agg(F.sum("whole").alias("w")).collect()  # at most SALTS rows
+    heads = big.groupBy("salt").agg(F.sum("whole").alias("w")).collect()  # one row a salt
     starts, at = [], used
     for r in sorted(heads, key=lambda r: r["salt"]):
         starts.append((r["salt"], at))
