@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.llm.sampling import bounded_sample
 from evigraph.runtime import cut
 
 FEATURES, ROUNDS = 1 << 18, 2
@@ -204,7 +205,7 @@ def subject_posteriors(docs: DataFrame, labels: DataFrame, areas: DataFrame, rou
         model = _round(features, _share(spark, model), n)
     kinds = "doc_id long, given int, labelled boolean, held boolean, c int, hits double, clear double"
     signals = cut(features.mapInArrow(_signals(_share(spark, model), n), kinds), "signals")
-    sample = signals.where("held AND labelled").orderBy(F.xxhash64("doc_id", F.lit(1)), "c").limit(CALIBRATE).toPandas()
+    sample = bounded_sample(signals.where("held AND labelled"), CALIBRATE, "doc_id", "c").toPandas()
     a, b, c = calibrate((sample["hits"] / sample["clear"]).to_numpy(), sample["hits"].to_numpy(), sample["given"].to_numpy(float))
     posterior = 1 / (1 + F.exp(-(F.lit(float(a)) + F.lit(float(b)) * F.col("hits") / F.col("clear") + F.lit(float(c)) * F.log("hits"))))
     names = F.array(*[F.lit(s) for s in subjects])
