@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import ids, text as T
 from evigraph.operators import acquire, critic, graph, ingest, registry, synthesis, usage
-from evigraph.plans import routing
+from evigraph.plans import jobs, routing
 from evigraph.runtime import table
 from evigraph.search import search
 from evigraph.schemas import conform
@@ -487,6 +487,29 @@ def json_props(spark, sf_dir):
     return Tables(spark, sf_dir).events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+@query("""SELECT document_id, CASE WHEN regexp_matches(lower(title), '404|403|401|invalid url|net::err_name_not_resolved|net::err_aborted') THEN 'permanent'
+ WHEN regexp_matches(lower(title), 'timeout|timed out|connection reset|connection refused|dns|network|eof occurred|broken pipe|temporarily unavailable|429|503') THEN 'transient' ELSE 'other' END AS class,
+ coalesce(regexp_matches(lower(title), 'quota|rate.?limit|daily.?limit|limit.?exceeded|too.?many.?request|429'), false) AS quota FROM source_documents""")
+def error_classes(spark, sf_dir):
+    d = Tables(spark, sf_dir).source_documents
+    return d.select("document_id", T.error_class(F.col("title")).alias("class"), T.quota_error(F.col("title")).alias("quota"))
+
+
+@query("""WITH c AS (SELECT coalesce(acquisition_method, '') AS method, count(*) FILTER (content <> '') AS outputs, count(*) AS inputs FROM source_documents GROUP BY 1)
+SELECT method, outputs, inputs, CASE WHEN outputs > 0 THEN 'IDLE_WITH_OUTPUT' WHEN inputs > 0 THEN 'READY_TO_INDEX' ELSE 'NOT_INITIALIZED' END AS status FROM c""")
+def job_status(spark, sf_dir):
+    d = Tables(spark, sf_dir).source_documents
+    c = d.groupBy(F.coalesce("acquisition_method", F.lit("")).alias("method")).agg(F.count_if(F.col("content") != "").alias("outputs"), F.count("*").alias("inputs"))
+    return jobs.job_status(c.withColumn("processes", F.lit(0)).withColumn("settings", F.lit(0))).select("method", "outputs", "inputs", "status")
+
+
+@query("""SELECT extraction_iteration, count(*) AS triplets, count(*) FILTER (subject <> '' AND predicate <> '' AND object <> '') AS complete, count(*) FILTER (source_document_id IS NULL) AS unsourced FROM triplet_records GROUP BY 1""")
+def triplet_completeness(spark, sf_dir):
+    t = Tables(spark, sf_dir).triplet_records
+    full = (F.col("subject") != "") & (F.col("predicate") != "") & (F.col("object") != "")
+    return t.groupBy("extraction_iteration").agg(F.count("*").alias("triplets"), F.count_if(full).alias("complete"), F.count_if(F.col("source_document_id").isNull()).alias("unsourced"))
+
+
 # --- Search --------------------------------------------------------------------------------------------------------------
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.query_id, v.vec_id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.e::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank FROM q JOIN embeddings v ON true)
 SELECT query_id, vec_id, rank::INT AS rank FROM s WHERE rank <= 10""")
