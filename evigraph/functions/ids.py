@@ -33,6 +33,7 @@ def resource_document_id(path: Column, modified: Column) -> Column:
 
 
 def answer_document_id(method: Column, question: Column) -> Column:
+    # prefix and form are fixed by the data
     return digest_id("graphrag-", F.concat(F.lit("graphrag:"), method, F.lit(":"), question))
 
 
