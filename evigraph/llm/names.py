@@ -33,7 +33,7 @@ from evigraph.runtime import cut
 RADIUS = 2
 #: Pivots are one in PER_PIVOT words, MIN_PIVOTS to MAX_PIVOTS; replicas of a cell are cut into blocks of about BLOCK,
 #: the words at home in it into shares of about HOMES.
-PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS, BLOCK, HOMES = 100, 8, 256, 20_000, 2_000
+PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS, BLOCK, HOMES = 100, 8, 64, 20_000, 2_000
 #: Words shorter than this are compared at radius 1 (or two letters exchanged), and not at all below MIN_WORD.
 LONG_WORD, MIN_WORD = 6, 4
 
