@@ -237,7 +237,7 @@ def name_entities(entities: DataFrame, triplets: DataFrame) -> DataFrame:
     fixed = cut(spellings(words), "spellings")
     # a spelling may itself be corrected once more: follow one step
     twice = fixed.alias("a").join(fixed.alias("b"), F.col("a.spelling") == F.col("b.word"), "left").select(F.col("a.word").alias("word"), F.coalesce("b.spelling", "a.spelling").alias("spelling"))
-    read = each.join(twice, "word", "left").select("name", F.coalesce("spelling", "word").alias("word"))
+    read = cut(each.join(twice, "word", "left").select("name", F.coalesce("spelling", "word").alias("word")), "read")
     known = read.groupBy("word").agg(F.count("*").alias("n"))
     read = read.join(known, "word")
     stems = read.groupBy("name").agg(F.min_by("word", F.struct("n", -F.length("word"), "word")).alias("stem"), F.array_sort(F.collect_set("word")).alias("all"))
@@ -254,7 +254,7 @@ def name_entities(entities: DataFrame, triplets: DataFrame) -> DataFrame:
     # without a mark: the one entity of the group, if there is one; else a group of its own
     full = full.join(marks, ["kind", "stem", "given"], "left").select("name", "kind", "stem", "given", F.coalesce("mark", F.when(F.col("marks") == 1, F.col("only")), F.lit("")).alias("mark"))
     key = F.concat_ws("|", "kind", "stem", "given", "mark")
-    full = full.select("name", "kind", "stem", "given", "mark", key.alias("entity"))
+    full = cut(full.select("name", "kind", "stem", "given", "mark", key.alias("entity")), "full")
     groups = full.select("kind", "stem", "given", "mark", "entity").distinct()
     people = groups.where("kind = 'person'").select("stem", "given", "mark", "entity")
     short = parsed.where("bare IS NOT NULL AND bare <> ''").select("name", "stem", "bare")
