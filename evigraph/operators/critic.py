@@ -17,12 +17,13 @@ def split_iteration(triplets: DataFrame, iteration: int) -> tuple[DataFrame, Dat
 def candidate_contradictions(new: DataFrame, existing: DataFrame) -> DataFrame:
     """contradiction_id, subject, predicate, claim_a (existing object), claim_b (new object) where the objects differ.
 
-    Both sides are reduced to distinct statements first. Objects of one (subject, predicate) are compared with its smallest
-    existing object: k objects give k - 1 candidates that name every conflicting object, not k x k pairs.
+    Both sides are reduced to distinct statements first. A new object is compared with the smallest existing object of its
+    (subject, predicate), or with the largest where it is the smallest itself: every new object that differs from any existing one
+    gives one candidate, k of them instead of k x k pairs. claim_a is one of the existing objects in conflict, not all of them.
     """
-    old = existing.where("subject <> '' AND predicate <> '' AND object <> ''").groupBy("subject", "predicate").agg(F.min("object").alias("claim_a"))
+    old = existing.where("subject <> '' AND predicate <> '' AND object <> ''").groupBy("subject", "predicate").agg(F.min("object").alias("lo"), F.max("object").alias("hi"))
     fresh = new.where("subject <> '' AND predicate <> '' AND object <> ''").select("subject", "predicate", F.col("object").alias("claim_b")).distinct()
-    pairs = fresh.join(old, ["subject", "predicate"]).where("claim_a <> claim_b")
+    pairs = fresh.join(old, ["subject", "predicate"]).withColumn("claim_a", F.expr("if(lo <> claim_b, lo, hi)")).where("claim_a <> claim_b")
     return pairs.select(contradiction_id(F.col("subject"), F.col("claim_a"), F.col("claim_b")).alias("contradiction_id"), "subject", "predicate", "claim_a", "claim_b")
 
 
