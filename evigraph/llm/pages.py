@@ -1,8 +1,8 @@
 """Main body of web pages (p1) and residue pages (p3).
 
 Both rest on site template removal. A page is a tree of sections and lines; each line is hashed with the site's own
-name and short numbers taken out, the hashes are counted per host, and a line recurring over a notable share of the
-host's pages, beside differing texts, is template. A hash that is template on several hosts is template everywhere,
+name and short numbers taken out, the hashes are counted per host, and a line recurring beside enough differing texts of
+the host, however many pages it has, is template. A hash that is template on several hosts is template everywhere,
 which reaches hosts seen once. What hangs below a template heading of teasers goes with it. A list of usual words of
 page furniture (below, by language) names the same elements on hosts with too few pages to count.
 
@@ -188,8 +188,9 @@ LINK = re.compile(r"\[([^\]]{1,30})\]\(/[^)\s]*\)")
 LETTER = re.compile(r"[^\W\d_]")
 SEPARATOR = re.compile(r" *[>/|·›»,] *|  +| (?=\[)")
 CLOSED = re.compile(r"""[.!?。！？:;,]['"”’»)]*$|\t|^```|^#""")
-#: A line is template of its host from so many pages with differing texts, and from this share of its pages on.
-MIN_PAGES, MIN_SHARE, LIFT_HOSTS = 3, 0.04, 2
+#: A line is template of its host from MIN_TEXTS pages with differing texts on, whatever the size of the host; on small hosts from
+#: MIN_PAGES such pages on if these are MIN_SHARE of it. Lines of an article's edited copies recur too, beside fewer differing texts.
+MIN_PAGES, MIN_SHARE, MIN_TEXTS, LIFT_HOSTS = 3, 0.04, 6, 2
 #: Longer lines are text; they are not counted as template.
 MAX_TEMPLATE_CHARS = 220
 #: Error and script evidence is looked for where no more than this is left of a page; weak evidence counts up to half of it.
@@ -334,7 +335,8 @@ def template_keys(pages: DataFrame) -> DataFrame:
         .where((F.col("n") >= MIN_PAGES) & (F.bit_count("mask") >= MIN_PAGES))
     )
     headings = pages.select(F.explode("titles").alias("key")).where("key IS NOT NULL").distinct()
-    kept = per_host.join(totals, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).join(headings, "key", "left_anti")
+    enough = (F.bit_count("mask") >= MIN_TEXTS) | (F.col("n") >= MIN_SHARE * F.col("pages"))
+    kept = per_host.join(totals, "host").where(enough).join(headings, "key", "left_anti")
     return kept.groupBy("key").agg(F.count("*").alias("hosts"), F.min("host").alias("h")).select("key", F.when(F.col("hosts") < LIFT_HOSTS, F.col("h")).alias("only_host"))
 
 
