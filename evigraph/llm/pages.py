@@ -193,7 +193,7 @@ CLOSED = re.compile(r"""[.!?。！？:;,]['"”’»)]*$|\t|^```|^#""")
 MIN_PAGES, MIN_SHARE, MIN_TEXTS, LIFT_HOSTS = 3, 0.04, 6, 2
 #: Longer lines are text; they are not counted as template.
 MAX_TEMPLATE_CHARS = 220
-#: Error and script evidence is looked for where no more than this is left of a page; weak evidence counts up to half of it.
+#: Weak evidence counts where no more than half of this is left of a page when its furniture is subtracted.
 WEAK_CHARS = 1200
 LINES = (
     "document_id string, web boolean, host string, chash long, sig int, codes string, lens array<int>, keys array<long>, titles array<long>"
@@ -275,14 +275,13 @@ def _page(words: _Words, content: str, host: str | None, web: bool, site: str) -
         keys.append(key)
         titles.append(title)
         texts.append(t)
-    if sum(n for n, c in zip(lens, codes) if c in "tse") <= WEAK_CHARS:
-        for i, (t, c) in enumerate(zip(texts, codes)):
-            if c in "ts" and lens[i] <= MAX_TEMPLATE_CHARS:
-                low = t.lower().lstrip("# ")
-                if words.error.fullmatch(low):
-                    codes[i] = "e"
-                elif words.weak.search(low):
-                    codes[i] = "w"
+    for i, (t, c) in enumerate(zip(texts, codes)):
+        if c in "ts" and lens[i] <= MAX_TEMPLATE_CHARS:
+            low = t.lower().lstrip("# ")
+            if words.error.fullmatch(low):
+                codes[i] = "e"
+            elif words.weak.search(low):
+                codes[i] = "v" if c == "t" and BULLET.match(t) else "w"
     return "".join(codes), lens, keys, titles, xxhash.xxh64_intdigest(longest.encode("utf-8", "surrogatepass")) % 64
 
 
@@ -312,8 +311,8 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_table(docs: DataFrame) -> DataFrame:
     """One row per record with non-null content: codes (one letter per line), lens, keys (hash of the line as template), titles.
 
-    Letters: b blank, f furniture by its words, h heading of teasers, e evidence of residue, w weak evidence, t short line without a
-    closing mark, s other text. Extra columns of ``docs`` are ignored. Python workers get Arrow batches of texts and return numbers.
+    Letters: b blank, f furniture by its words, h heading of teasers, e evidence of residue, w weak evidence, v weak evidence in an item of
+    a list, t short line without a closing mark, s other text. Extra columns of ``docs`` are ignored. Python workers get Arrow batches of texts and return numbers.
     """
     base = docs.where("content IS NOT NULL AND document_id IS NOT NULL").select(
         "document_id", "content", host_of(F.col("url")).alias("host"),
@@ -340,37 +339,52 @@ def template_keys(pages: DataFrame) -> DataFrame:
     return kept.groupBy("key").agg(F.count("*").alias("hosts"), F.min("host").alias("h")).select("key", F.when(F.col("hosts") < LIFT_HOSTS, F.col("h")).alias("only_host"))
 
 
+def _total(letters: str) -> Column:
+    """Characters of the lines with these letters."""
+    return F.aggregate(F.zip_with("lens", F.split("codes", ""), lambda n, c: F.when(F.lit(letters).contains(c) & (c != ""), n).otherwise(0)), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+
+
+def _marked(hits: str) -> Column:
+    """codes with F at these positions."""
+    return F.expr(f"CASE WHEN {hits} IS NULL THEN codes ELSE array_join(transform(split(codes, ''), (c, i) -> CASE WHEN array_contains({hits}, i) THEN 'F' ELSE c END), '') END")
+
+
 def page_codes(docs: DataFrame) -> DataFrame:
     """One row per document_id with non-null content: codes (one letter per line), lens (characters per line), web, chash.
 
-    Letters: F furniture, b blank, e and w evidence of residue, t and s main body. Where rows of one document_id differ in
+    Letters: F furniture, b blank, e, v and w evidence of residue, t and s main body. Where rows of one document_id differ in
     content, the content with the smallest hash stands for it; equal repeats count once.
+
+    Template lines that look like evidence (a notice on scripts in every page) are furniture if at least half of the pages with
+    the line have a body besides it; otherwise they are what recurring error pages hold, and stay evidence.
     """
     pages = cut(line_table(docs), "lines")
     one = pages.groupBy("document_id").agg(F.min_by(F.struct("web", "chash", "codes", "lens"), "chash").alias("p")).select("document_id", "p.*")
-    at = F.expr("filter(transform(keys, (k, i) -> named_struct('key', k, 'pos', i)), x -> x.key IS NOT NULL AND substring(codes, x.pos + 1, 1) IN ('t', 's'))")
+    at = F.expr("filter(transform(keys, (k, i) -> named_struct('key', k, 'pos', i, 'c', substring(codes, i + 1, 1))), x -> x.key IS NOT NULL AND x.c IN ('t', 's', 'e', 'v', 'w'))")
     asked = pages.where("web").select("document_id", "chash", "host", F.explode(at).alias("x")).select("document_id", "chash", "host", "x.*")
-    hits = asked.join(template_keys(pages), "key").where("only_host IS NULL OR only_host = host").groupBy("document_id", "chash").agg(F.collect_set("pos").alias("hits"))
-    joined = one.join(hits, ["document_id", "chash"], "left")
-    coded = F.expr(
-        "CASE WHEN hits IS NULL THEN codes ELSE array_join(transform(split(codes, ''), (c, i) -> CASE WHEN array_contains(hits, i) THEN 'F' ELSE c END), '') END"
-    )
+    plain = F.col("c").isin("t", "s")
+    hits = asked.join(template_keys(pages), "key").where("only_host IS NULL OR only_host = host").groupBy("document_id", "chash").agg(
+        F.collect_set(F.when(plain, F.col("pos"))).alias("hits"), F.collect_set(F.when(~plain, F.struct("key", "pos"))).alias("doubtful")
+    )
     # what hangs below a heading of teasers goes with it
-    return joined.select("document_id", "web", "chash", F.regexp_replace(F.replace(coded, F.lit("f"), F.lit("F")), "h|\\G(?<!^)t", "F").alias("codes"), "lens")
+    coded = F.regexp_replace(F.replace(_marked("hits"), F.lit("f"), F.lit("F")), "h|\\G(?<!^)[tv]", "F")
+    first = cut(one.join(hits, ["document_id", "chash"], "left").select("document_id", "web", "chash", coded.alias("codes"), "lens", "doubtful"), "first")
+    beside = (_total("ts") * 4 > WEAK_CHARS) & (_total("ts") > _total("evw"))
+    lines = first.where("size(doubtful) > 0").select("document_id", beside.alias("beside"), F.explode("doubtful").alias("x")).select("document_id", "beside", "x.*")
+    notices = lines.groupBy("key").agg(F.count("*").alias("n"), F.count_if("beside").alias("real")).where("real * 2 >= n").select("key")
+    more = lines.join(notices, "key").groupBy("document_id").agg(F.collect_set("pos").alias("more"))
+    return first.join(more, "document_id", "left").select("document_id", "web", "chash", _marked("more").alias("codes"), "lens")
 
 
 def with_residue(pages: DataFrame) -> DataFrame:
     """Adds ``residue``: evidence makes up at least half of what is left when furniture is subtracted."""
-    def total(letters: str) -> Column:
-        return F.aggregate(F.zip_with("lens", F.split("codes", ""), lambda n, c: F.when(F.lit(letters).contains(c) & (c != ""), n).otherwise(0)), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
-
-    strong, weak, rest = total("e"), total("w"), total("ts")
+    strong, weak, rest = _total("e"), _total("vw"), _total("ts")
     whole = strong + weak + rest
     small, tiny = whole * 2 <= WEAK_CHARS, whole * 4 <= WEAK_CHARS
     found = (strong >= weak + rest) | (small & (strong + weak >= rest)) | (tiny & (strong * 6 >= rest))
     return (
-        pages.where("codes RLIKE '[ew]'").select("*", F.when(strong > 0, found).otherwise(small & (weak >= rest)).alias("residue"))
-        .unionByName(pages.where("NOT codes RLIKE '[ew]'").select("*", F.lit(False).alias("residue")))
+        pages.where("codes RLIKE '[evw]'").select("*", F.when(strong > 0, found).otherwise(small & (weak >= rest)).alias("residue"))
+        .unionByName(pages.where("NOT codes RLIKE '[evw]'").select("*", F.lit(False).alias("residue")))
     )
 
 
