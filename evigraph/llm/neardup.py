@@ -8,7 +8,9 @@ structured masks; Pagh, "CoveringLSH"). At a similarity of 0.65 a family misses
 together with 0.0009; at 0.6 with 0.006. Candidates are verified on their whole sets.
 
 Texts with equal sets are one class and enter once, by the hash of the set. Tables are joined on their keys (equi-join,
-split by adaptive execution where a key is hot), never grouped; sets travel only for classes that have a candidate.
+split by adaptive execution where a key is hot), never grouped; a set travels once, and once more for each candidate of it.
+Each step is written to a table and the shuffle files and tables behind it are removed, so the disk used is that of the
+widest step.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from evigraph.runtime import cut
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE, SIMILARITY, FAMILIES = 3, 0.6, 8
-SKETCH = "document_id string, n int, class long, keys array<long>, grams array<int>"
+SKETCH = "document_id string, n int, class long, grams array<int>"
+KEYS = "class long, n int, key long"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -71,7 +74,8 @@ class Sketcher:
         return np.unique(_mix(total))
 
     def minhash(self, grams: np.ndarray) -> np.ndarray:
-        out = None
+        """Minima of 32-bit shingle hashes under each of the permutations."""
+        grams, out = _mix(grams.astype(np.uint64)), None
         for start in range(0, len(grams), 4096):
             part = (self.factors[:, None] * grams[None, start : start + 4096]).min(axis=1)
             out = part if out is None else np.minimum(out, part)
@@ -94,14 +98,14 @@ def _lists(values: np.ndarray, offsets: list[int], kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def _sketches(shingle: int, families: int):
+def _sketches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Sketcher(shingle, families)
+        s = Sketcher(shingle)
         with np.errstate(over="ignore"):
             for batch in batches:
                 for start in range(0, batch.num_rows, 500):
                     part = batch.slice(start, 500)
-                    ids, counts, classes, minima, grams = [], [], [], [], []
+                    ids, counts, classes, grams = [], [], [], []
                     for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                         g = s.grams(text)
                         if not len(g):
@@ -109,58 +113,75 @@ def _sketches(shingle: int, families: int):
                         ids.append(key)
                         counts.append(len(g))
                         classes.append(xxhash.xxh64_intdigest(g.tobytes()))
-                        minima.append(s.minhash(g))
                         grams.append((g & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-                    if not ids:
-                        continue
-                    keys = s.keys(np.stack(minima))
+                    if ids:
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(ids, pa.string()), pa.array(counts, pa.int32()), pa.array(np.array(classes, np.uint64).view(np.int64)),
+                            _lists(np.concatenate(grams), [0, *np.cumsum(counts).tolist()], pa.int32()),
+                        ], names=["document_id", "n", "class", "grams"])
+
+    return run
+
+
+def _table_keys(families: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Sketcher(1, families)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for start in range(0, batch.num_rows, 500):
+                    part = batch.slice(start, 500)
+                    lists = part.column(2)
+                    values, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+                    keys = s.keys(np.stack([s.minhash(g.view(np.uint32)) for g in np.split(values, ends[:-1])]))
+                    per = keys.shape[1]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(ids, pa.string()), pa.array(counts, pa.int32()), pa.array(np.array(classes, np.uint64).view(np.int64)),
-                        _lists(keys.reshape(-1).view(np.int64), list(range(0, keys.size + 1, keys.shape[1])), pa.int64()),
-                        _lists(np.concatenate(grams), [0, *np.cumsum(counts).tolist()], pa.int32()),
-                    ], names=["document_id", "n", "class", "keys", "grams"])
+                        pa.array(np.repeat(part.column(0).to_numpy(), per)), pa.array(np.repeat(part.column(1).to_numpy(), per)), pa.array(keys.reshape(-1).view(np.int64)),
+                    ], names=["class", "n", "key"])
 
     return run
 
 
-def sketches(texts: DataFrame, shingle: int = SHINGLE, families: int = FAMILIES) -> DataFrame:
-    """document_id, n (distinct shingles), class (hash of the set), keys, grams (lower 32 bits of the shingle hashes).
+def sketches(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """document_id, n (distinct shingles), class (hash of the set), grams (lower 32 bits of the shingle hashes).
 
     ``texts`` has document_id and body; null bodies and bodies of fewer words than a shingle give no row.
     """
-    return texts.where("body IS NOT NULL").select("document_id", "body").mapInArrow(_sketches(shingle, families), SKETCH)
+    return texts.where("body IS NOT NULL").select("document_id", "body").mapInArrow(_sketches(shingle), SKETCH)
 
 
-def similar_classes(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def classes_of(texts: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Two tables: document_id, class of each document; class, n, grams of each class."""
+    sketched = cut(sketches(texts, shingle), "sketches")
+    members = cut(sketched.select("document_id", "class"), "members")
+    return members, cut(sketched.groupBy("class").agg(F.any_value("n").alias("n"), F.any_value("grams").alias("grams")), "classes", done=(sketched,))
+
+
+def similar_classes(classes: DataFrame, similarity: float = SIMILARITY, families: int = FAMILIES) -> DataFrame:
     """class_a < class_b, shared, similarity: pairs of different sets with a Jaccard similarity from ``similarity`` on."""
-    one = sketched.dropDuplicates(["class"])
-    # equal sets have equal keys, so any row stands for its class
-    tables = sketched.groupBy("class").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys")).select("class", "n", F.explode("keys").alias("key"))
+    tables = classes.select("class", "n", "grams").mapInArrow(_table_keys(families), KEYS)
     a, b = tables.select("key", F.col("class").alias("class_a"), F.col("n").alias("na")), tables.select("key", F.col("class").alias("class_b"), F.col("n").alias("nb"))
     near = a.join(b, "key").where("class_a < class_b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("class_a", "class_b").distinct()
     near = cut(near, "candidates")
-    asked = near.select(F.col("class_a").alias("class")).union(near.select(F.col("class_b").alias("class"))).distinct()
-    sets = one.select("class", "n", "grams").join(asked, "class", "left_semi")
-    sa, sb = sets.select(F.col("class").alias("class_a"), F.col("grams").alias("ga"), F.col("n").alias("na")), sets.select(F.col("class").alias("class_b"), F.col("grams").alias("gb"), F.col("n").alias("nb"))
+    sa, sb = classes.select(F.col("class").alias("class_a"), F.col("grams").alias("ga"), F.col("n").alias("na")), classes.select(F.col("class").alias("class_b"), F.col("grams").alias("gb"), F.col("n").alias("nb"))
     both = near.join(sa, "class_a").join(sb, "class_b").select("class_a", "class_b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("shared"))
     found = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return both.select("class_a", "class_b", "shared", found.alias("similarity")).where(F.col("similarity") >= similarity)
+    found = both.select("class_a", "class_b", "shared", found.alias("similarity")).where(F.col("similarity") >= similarity)
+    return cut(found, "similar", done=(near, classes))
 
 
 def near_duplicate_classes(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document with a shingle: document_id, class, copies (documents of the class), links (similar classes)."""
-    sketched = cut(sketches(texts, shingle), "sketches")
-    pairs = similar_classes(sketched, similarity)
-    links = pairs.select(F.col("class_a").alias("class")).union(pairs.select(F.col("class_b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
-    copies = sketched.groupBy("class").agg(F.count("*").alias("copies"))
-    return sketched.select("document_id", "class").join(copies, "class").join(links, "class", "left").select("document_id", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    members, classes = classes_of(texts, shingle)
+    pairs = similar_classes(classes, similarity)
+    links = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    copies = members.groupBy("class").agg(F.count("*").alias("copies"))
+    return members.join(copies, "class").join(links, "class", "left").select("document_id", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def near_duplicate_pairs(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """document_id_a < document_id_b: all pairs of documents with a similarity from ``similarity`` on, copies included."""
-    sketched = cut(sketches(texts, shingle), "sketches")
-    pairs = similar_classes(sketched, similarity).select("class_a", "class_b")
-    member = sketched.select("class", "document_id")
+    member, classes = classes_of(texts, shingle)
+    pairs = similar_classes(classes, similarity).select("class_a", "class_b")
     ma, mb = member.select(F.col("class").alias("class_a"), F.col("document_id").alias("x")), member.select(F.col("class").alias("class_b"), F.col("document_id").alias("y"))
     across = pairs.join(ma, "class_a").join(mb, "class_b").select(F.least("x", "y").alias("document_id_a"), F.greatest("x", "y").alias("document_id_b"))
     within = ma.join(mb, F.col("class_a") == F.col("class_b")).where("x < y").select(F.col("x").alias("document_id_a"), F.col("y").alias("document_id_b"))

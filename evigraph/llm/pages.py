@@ -368,12 +368,12 @@ def page_codes(docs: DataFrame) -> DataFrame:
     )
     # what hangs below a heading of teasers goes with it
     coded = F.regexp_replace(F.replace(_marked("hits"), F.lit("f"), F.lit("F")), "h|\\G(?<!^)[tv]", "F")
-    first = cut(one.join(hits, ["document_id", "chash"], "left").select("document_id", "web", "chash", coded.alias("codes"), "lens", "doubtful"), "first")
+    first = cut(one.join(hits, ["document_id", "chash"], "left").select("document_id", "web", "chash", coded.alias("codes"), "lens", "doubtful"), "first", done=(pages,))
     beside = (_total("ts") * 4 > WEAK_CHARS) & (_total("ts") > _total("evw"))
     lines = first.where("size(doubtful) > 0").select("document_id", beside.alias("beside"), F.explode("doubtful").alias("x")).select("document_id", "beside", "x.*")
     notices = lines.groupBy("key").agg(F.count("*").alias("n"), F.count_if("beside").alias("real")).where("real * 2 >= n").select("key")
     more = lines.join(notices, "key").groupBy("document_id").agg(F.collect_set("pos").alias("more"))
-    return first.join(more, "document_id", "left").select("document_id", "web", "chash", _marked("more").alias("codes"), "lens")
+    return cut(first.join(more, "document_id", "left").select("document_id", "web", "chash", _marked("more").alias("codes"), "lens"), "pages", done=(first,))
 
 
 def with_residue(pages: DataFrame) -> DataFrame:
@@ -390,7 +390,7 @@ def with_residue(pages: DataFrame) -> DataFrame:
 
 def classified(docs: DataFrame) -> DataFrame:
     """page_codes with residue: the common ground of p1, p3, p5 and p6."""
-    return with_residue(cut(page_codes(docs), "pages"))
+    return with_residue(page_codes(docs))
 
 
 def furniture_lines(docs: DataFrame) -> DataFrame:
