@@ -1,10 +1,11 @@
 """Main body of web pages (p1) and residue pages (p3).
 
-Both rest on site template removal. A page is a tree of sections and lines; each line is hashed with the site's own
-name and short numbers taken out, the hashes are counted per host, and a line recurring beside enough differing texts of
-the host, however many pages it has, is template. A hash that is template on several hosts is template everywhere,
-which reaches hosts seen once. What hangs below a template heading of teasers goes with it. A list of usual words of
-page furniture (below, by language) names the same elements on hosts with too few pages to count.
+Both rest on site template removal. A page is a tree of sections, lines and the items of a line; each line and item is
+hashed with the site's own name and short numbers taken out, the hashes are counted per host, and an element recurring beside
+enough differing texts of the host, however many pages it has and however long it is, is template; so is a line all of
+whose items are. A hash that is template on several hosts is template everywhere, which reaches hosts seen once. What hangs
+below a template heading of teasers goes with it. A list of usual words of page furniture (below, by language) names the
+same elements on hosts with too few pages to count.
 
 Counts are pre-aggregated before each shuffle and distinct texts are counted by the bits of one long, so a host with
 a third of all pages costs one row per line hash and map task. Texts never leave their rows before the last step.
@@ -13,6 +14,7 @@ a third of all pages costs one row per line hash and map task. Texts never leave
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -142,9 +144,12 @@ PLACEHOLDER = (
     "\\[(?:INSERT|TBD:?|Your|YOUR|TODO:?|PLACEHOLDER:?) [A-Za-z ]{2,30}\\]"
 )
 FILLER = """lorem|ipsum|dolor|amet|consectetur|adipiscing|elit|sed|eiusmod|tempor|incididunt|labore|magna|aliqua
-amenta|ultras|ipsor|elitu|adipor|corvus|consec|dolum|maecen|risor|velum|vestim|varia|tempora|donecto|portas|sedula|quisma
-augus|nullar|integra|proin|fermi|lacten
 asdf|asdfgh|qwer|qwerty|zxcv|jkl|foo|bar|baz|test|blah""".replace("\n", "|")
+#: Function words of the languages of the pages: a sentence of any of them has some, filler of made-up words has none.
+FUNCTION = """the of and to in a an is was are were be been for on with at by from as that this it its not or but has have had which who will would than
+der die das den dem des ein eine einer und in im ist war wird wurde zu zum zur von vom mit auf für bei nach aus an am nicht als auch sich wie um
+le la les de des du un une et en dans est sont était pour par sur avec au aux que qui ne pas plus son sa ses à il elle ce cette d' l'
+el los las una y es son fue por para con del al se su lo más entre o""".split()
 FILLER_START = """your text here
 sample text
 insert copy for this section
@@ -172,7 +177,7 @@ ERROR_LINE = (
     "página no encontrada|la dirección solicitada ya no existe\\.?|</?noscript>.*|loading(?:…|\\.{3})?|spinner|turn it on and reload\\.?|"
     "javascript is (?:disabled|required|off)\\.?|please wait while the viewer starts\\. .*|checking (?:your browser|that you are human).*"
 )
-#: Weak evidence: a short line with such words counts where hardly anything else is left of the page.
+#: Weak evidence: a line counts if half of it are sentences with such words, and where hardly anything else is left of the page.
 WEAK = (
     "\\b(?:java)?scripts?\\b|\\bjs\\b|scripting|skripte|guiones|脚本|\\bcaptcha\\b|\\bhuman\\b|your browser|security of your connection|"
     "permission to view|blocked in your region|not available right now|could not be found|(?:was|is) not found|taken down|no longer (?:exists|available)|"
@@ -181,22 +186,39 @@ WEAK = (
     "nicht erreichbar|später erneut|momentanément indisponible|réessayez|n'est pas disponible|no está disponible|inténtelo|ya no existe|"
     "无法显示|不存在|未找到|不可用|稍后再试|learn how|^retry$|^reload$"
 )
+#: Literal parts of the patterns of WEAK, one of which each match holds: a quick test before the pattern.
+WEAK_PARTS = """script|js|skript|guiones|脚本|captcha|human|your browser|security of your connection|permission to view|blocked in your region|not available right now
+be found|not found|taken down|no longer|not exist|leads nowhere|nothing lives|asked for|will return|connection|refused by peer|was reset after|timed out|quota|rate limit
+expired|unusual traffic|maintenance|out of service|try again|nicht erreichbar|später erneut|indisponible|réessayez|n'est pas disponible|no está disponible|inténtelo
+ya no existe|无法显示|不存在|未找到|不可用|稍后再试|learn how|retry|reload""".replace("\n", "|").split("|")
 # --- End of fixed values. ---
 
+#: As many words in a row without a function word, most in lower case, are filler.
+FILLER_WORDS = 8
+#: A word of cookies in so many characters of a line makes it a notice.
+COOKIE_CHARS = 180
+#: As many equal lines of text in one record are filler.
+REPEATS = 3
+WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？])")
+CAPITAL = re.compile(r" (?=[A-ZÀ-ÞĀ-Ž])")
 BULLET = re.compile(r"^(?:[*•►»·▸–-]|\d{1,2}\.)\s+")
 LINK = re.compile(r"\[([^\]]{1,30})\]\(/[^)\s]*\)")
 LETTER = re.compile(r"[^\W\d_]")
 SEPARATOR = re.compile(r" *[>/|·›»,] *|  +| (?=\[)")
-CLOSED = re.compile(r"""[.!?。！？:;,]['"”’»)]*$|\t|^```|^#""")
+QUOTES = "'\"”’»)"
+MARKS = frozenset(".!?。！？:;,")
 #: A line is template of its host from MIN_TEXTS pages with differing texts on, whatever the size of the host; on small hosts from
 #: MIN_PAGES such pages on if these are MIN_SHARE of it. Lines of an article's edited copies recur too, beside fewer differing texts.
 MIN_PAGES, MIN_SHARE, MIN_TEXTS, LIFT_HOSTS = 3, 0.04, 6, 2
-#: Longer lines are text; they are not counted as template.
-MAX_TEMPLATE_CHARS = 220
-#: Weak evidence counts where no more than half of this is left of a page when its furniture is subtracted.
-WEAK_CHARS = 1200
+#: Strong evidence counts for more where less is left of a page: it makes the page residue if, so many times over, it outweighs the
+#: rest times the length of the whole.
+STRONG_CHARS = 1800
+#: An item of a line has so many words at most.
+ITEM_WORDS = 4
 LINES = (
-    "document_id string, web boolean, host string, chash long, sig int, codes string, lens array<int>, keys array<long>, titles array<long>"
+    "document_id string, web boolean, host string, chash long, sig int, codes string, lens array<int>, keys array<long>, titles array<long>, "
+    "counted array<long>, item_keys array<long>, item_lines array<int>, item_needs array<int>"
 )
 
 
@@ -211,16 +233,16 @@ class _Words:
         self.placeholder, self.mark = re.compile(PLACEHOLDER), re.compile(r"[{\[<«_]|%%|@@|%\(|XXX")
         self.filler = re.compile(f"(?:[a-z ]{{3,20}}: ?)?(?:lorem ipsum )?(?:\\b(?:{FILLER})\\b[\\s.,;]*){{3}}", re.I)
         self.error, self.weak = re.compile(ERROR_LINE), re.compile(WEAK)
-        self.fillers = tuple(FILLER_START)
+        self.fillers, self.function = tuple(FILLER_START), frozenset(FUNCTION)
 
-    def furniture(self, bare: str, n: int) -> bool:
-        flat = re.sub(r"\d+", "#", bare)
-        if flat in self.exact or " ".join(flat.split()) in self.exact or bare.startswith(self.starts) or any(w in bare for w in CONTAINS):
+    def furniture(self, bare: str, n: int, closed: bool) -> bool:
+        flat = re.sub(r"\d+", "#", bare) if bare[:1].isdigit() or not closed else bare
+        if flat in self.exact or not closed and " ".join(flat.split()) in self.exact or bare.startswith(self.starts) or any(w in bare for w in CONTAINS):
             return True
-        if n <= 180 and "javascript" not in bare and any(w in bare for w in COOKIE):
+        if "javascript" not in bare and sum(bare.count(w) for w in COOKIE) * COOKIE_CHARS >= n:
             return True
-        if n > 160:
-            return False
+        if closed:
+            return bare in self.legal
         if "|" in bare and all(x.strip() in self.legal for x in bare.split("|")) or bare in self.legal:
             return True
         parts = [x.strip() for x in SEPARATOR.split(bare)]
@@ -231,20 +253,65 @@ class _Words:
     def evidence(self, t: str) -> bool:
         if self.mark.search(t) and len(self.placeholder.findall(t)) * 110 > len(t):
             return True
-        return self.filler.match(t) is not None or t[:60].lower().lstrip("# ").startswith(self.fillers)
+        return self.filler.match(t) is not None or t.lower().lstrip("# ").startswith(self.fillers) or self.made_up(t)
+
+    def made_up(self, t: str) -> bool:
+        """Running words of which none is a function word, in lower case but for the first of a sentence."""
+        run = low = 0
+        for m in WORD.finditer(t):
+            w = m[0]
+            if w.lower() in self.function or not w.isascii():
+                return False
+            run, low = run + 1, low + w.islower()
+        return run >= FILLER_WORDS and low * 4 >= run * 3
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _page(words: _Words, content: str, host: str | None, web: bool, site: str) -> tuple[str, list[int], list[int | None], list[int | None], int]:
+def _closed(t: str) -> bool:
+    """Whether a line ends in a closing mark, or is a heading, a fence or a row of a table."""
+    return t.rstrip(QUOTES)[-1:] in MARKS or "\t" in t or t.startswith(("#", "```"))
+
+
+def _hash(text: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
+
+
+def _key(low: str, site: str) -> int | None:
+    """Hash of a line or item as an element of a template; null where it has no letters, as a fence or a rule."""
+    if not LETTER.search(low):
+        return None
+    k = re.sub("§(?: \\w+)?", "§", low.replace(site, "§")) if site and site in low else low
+    if "\t" not in low and len(low.split()) <= ITEM_WORDS:
+        k = re.sub(r"\d+", "#", k)
+    return _hash(k)
+
+
+def _items(words: _Words, t: str, bare: str, site: str) -> tuple[list[int], bool]:
+    """Hashes of the items of a line, and whether separators part them (else capitals); none where they are no items."""
+    parts = [x.strip() for x in SEPARATOR.split(bare)]
+    apart = len(parts) > 1
+    if not apart:
+        parts = [x.lower() for x in CAPITAL.split(LINK.sub(r"\1", BULLET.sub("", t)))]
+    parts = [x for x in parts if x]
+    if len(parts) < 2 or any(len(x.split()) > ITEM_WORDS for x in parts):
+        return [], apart
+    keys = [_key(x, site) for x in parts]
+    return ([], apart) if None in keys else (list(dict.fromkeys(keys)), apart)
+
+
+def _page(words: _Words, content: str, host: str | None, web: bool, site: str) -> tuple:
+    """codes, lens, keys, titles, counted item keys, item keys looked up with their lines and the number of items there, signature."""
     codes: list[str] = []
     lens: list[int] = []
     keys: list[int | None] = []
     titles: list[int | None] = []
+    counted: list[int] = []
+    items: tuple[list[int], list[int], list[int]] = ([], [], [])
     longest, texts = "", []
-    for raw in content.split("\n"):
+    for at, raw in enumerate(content.split("\n")):
         t = raw.replace("\u00a0", " ").replace("\u3000", " ").strip()
         n, key, title = len(t), None, None
         if n > len(longest):
@@ -252,22 +319,26 @@ def _page(words: _Words, content: str, host: str | None, web: bool, site: str) -
         code = "s"
         if not n:
             code = "b"
-        elif n <= MAX_TEMPLATE_CHARS:
+        else:
             low = t.lower()
-            bare = LINK.sub(r"\1", BULLET.sub("", low))
+            bare, closed = BULLET.sub("", low), _closed(t)
+            if "](/" in bare:
+                bare = LINK.sub(r"\1", bare)
             if web and bare in words.teaser:
                 code = "h"
-            elif web and words.furniture(bare, n):
+            elif web and words.furniture(bare, n, closed):
                 code = "f"
-            elif n <= 120 and not CLOSED.search(t):
+            elif not closed:
                 code = "t"
             if low.startswith("#"):
-                title = _signed(xxhash.xxh64_intdigest(low.lstrip("# ").encode("utf-8", "surrogatepass")))
-            elif web and host and LETTER.search(low):  # a fence or a rule is no element of a template
-                k = re.sub("§(?: \\w+)?", "§", low.replace(site, "§")) if site and site in low else low
-                if n <= 30 and "\t" not in t and len(low.split()) <= 4:
-                    k = re.sub(r"\d+", "#", k)
-                key = _signed(xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass")))
+                title = _hash(low.lstrip("# "))
+            elif web and host:
+                key = _key(low, site)
+                if code != "h" and not closed and (found := _items(words, t, bare, site))[0]:
+                    if found[1]:
+                        counted += found[0]
+                    for column, values in zip(items, (found[0], [at] * len(found[0]), [len(found[0])] * len(found[0]))):
+                        column.extend(values)
         if code in "ts" and words.evidence(t):
             code = "e"
         codes.append(code)
@@ -275,14 +346,17 @@ def _page(words: _Words, content: str, host: str | None, web: bool, site: str) -
         keys.append(key)
         titles.append(title)
         texts.append(t)
+    again = {t for t, n in Counter(t for t, c in zip(texts, codes) if c == "s").items() if n >= REPEATS}
     for i, (t, c) in enumerate(zip(texts, codes)):
-        if c in "ts" and lens[i] <= MAX_TEMPLATE_CHARS:
+        if t in again and c == "s":
+            codes[i] = "e"
+        elif c in "ts":
             low = t.lower().lstrip("# ")
             if words.error.fullmatch(low):
                 codes[i] = "e"
-            elif words.weak.search(low):
+            elif any(x in low for x in WEAK_PARTS) and words.weak.search(low) and sum(len(x) for x in SENTENCE.split(low) if words.weak.search(x)) * 2 >= len(low):
                 codes[i] = "v" if c == "t" and BULLET.match(t) else "w"
-    return "".join(codes), lens, keys, titles, xxhash.xxh64_intdigest(longest.encode("utf-8", "surrogatepass")) % 64
+    return "".join(codes), lens, keys, titles, list(dict.fromkeys(counted)), *items, xxhash.xxh64_intdigest(longest.encode("utf-8", "surrogatepass")) % 64
 
 
 SITE = re.compile(r"^(?:(?:www|news|read|m|blog)\.)?([^.-]+?)(?:online|web)?(?:-[^.]*)?\.")
@@ -293,6 +367,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([
         ("document_id", pa.string()), ("web", pa.bool_()), ("host", pa.string()), ("chash", pa.int64()), ("sig", pa.int32()),
         ("codes", pa.string()), ("lens", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("titles", pa.list_(pa.int64())),
+        ("counted", pa.list_(pa.int64())), ("item_keys", pa.list_(pa.int64())), ("item_lines", pa.list_(pa.int32())), ("item_needs", pa.list_(pa.int32())),
     ])
     for batch in batches:
         ids, contents, hosts, webs, hashes = (batch.column(i) for i in range(5))
@@ -302,14 +377,15 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host, web = hosts[i].as_py(), webs[i].as_py()
                 m = SITE.match(host) if host else None
                 site = m[1] if m and len(m[1]) >= 4 else ""
-                codes, lens, keys, titles, sig = _page(words, contents[i].as_py(), host, web, site)
-                for column, value in zip(rows, (ids[i].as_py(), web, host, hashes[i].as_py(), sig, codes, lens, keys, titles)):
+                *found, sig = _page(words, contents[i].as_py(), host, web, site)
+                for column, value in zip(rows, (ids[i].as_py(), web, host, hashes[i].as_py(), sig, *found)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per record with non-null content: codes (one letter per line), lens, keys (hash of the line as template), titles.
+    """One row per record with non-null content: codes (one letter per line), lens, keys (hash of the line as template), titles,
+    counted (hashes of items that separators part), item_keys, item_lines and item_needs (items looked up, their line, items of the line).
 
     Letters: b blank, f furniture by its words, h heading of teasers, e evidence of residue, w weak evidence, v weak evidence in an item of
     a list, t short line without a closing mark, s other text. Extra columns of ``docs`` are ignored. Python workers get Arrow batches of texts and return numbers.
@@ -329,7 +405,7 @@ def template_keys(pages: DataFrame) -> DataFrame:
     web = pages.where("web AND host IS NOT NULL")
     totals = web.groupBy("host").agg(F.count("*").alias("pages"))
     per_host = (
-        web.select("host", "sig", F.explode("keys").alias("key")).where("key IS NOT NULL").groupBy("host", "key")
+        web.select("host", "sig", F.explode(F.array_distinct(F.concat("keys", "counted"))).alias("key")).where("key IS NOT NULL").groupBy("host", "key")
         .agg(F.count("*").alias("n"), F.expr("bit_or(shiftleft(1L, sig))").alias("mask"))
         .where((F.col("n") >= MIN_PAGES) & (F.bit_count("mask") >= MIN_PAGES))
     )
@@ -360,16 +436,19 @@ def page_codes(docs: DataFrame) -> DataFrame:
     """
     pages = cut(line_table(docs), "lines")
     one = pages.groupBy("document_id").agg(F.min_by(F.struct("web", "chash", "codes", "lens"), "chash").alias("p")).select("document_id", "p.*")
-    at = F.expr("filter(transform(keys, (k, i) -> named_struct('key', k, 'pos', i, 'c', substring(codes, i + 1, 1))), x -> x.key IS NOT NULL AND x.c IN ('t', 's', 'e', 'v', 'w'))")
-    asked = pages.where("web").select("document_id", "chash", "host", F.explode(at).alias("x")).select("document_id", "chash", "host", "x.*")
-    plain = F.col("c").isin("t", "s")
-    hits = asked.join(template_keys(pages), "key").where("only_host IS NULL OR only_host = host").groupBy("document_id", "chash").agg(
-        F.collect_set(F.when(plain, F.col("pos"))).alias("hits"), F.collect_set(F.when(~plain, F.struct("key", "pos"))).alias("doubtful")
-    )
+    at = F.expr("filter(transform(keys, (k, i) -> named_struct('key', k, 'pos', i, 'need', 1, 'c', substring(codes, i + 1, 1))), x -> x.key IS NOT NULL AND x.c IN ('t', 's', 'e', 'v', 'w'))")
+    inside = F.expr("filter(transform(item_keys, (k, i) -> named_struct('key', k, 'pos', item_lines[i], 'need', item_needs[i], 'c', substring(codes, item_lines[i] + 1, 1))), x -> x.c IN ('t', 's'))")
+    asked = pages.where("web").select("document_id", "chash", "host", F.explode(F.concat(at, inside)).alias("x")).select("document_id", "chash", "host", "x.*")
+    found = asked.join(template_keys(pages), "key").where("only_host IS NULL OR only_host = host").repartition("document_id")
+    line = found.groupBy("document_id", "chash", "pos").agg(F.first("c").alias("c"), F.max(F.when(F.col("need") == 1, F.col("key"))).alias("key"), F.count_if(F.col("need") > 1).alias("items"), F.max("need").alias("need"))
+    plain = F.col("c").isin("t", "s") & (F.col("key").isNotNull() | (F.col("items") == F.col("need")))
+    hits = line.groupBy("document_id", "chash").agg(
+        F.collect_set(F.when(plain, F.col("pos"))).alias("hits"), F.collect_set(F.when(~F.col("c").isin("t", "s"), F.struct("key", "pos"))).alias("doubtful")
+    )
     # what hangs below a heading of teasers goes with it
     coded = F.regexp_replace(F.replace(_marked("hits"), F.lit("f"), F.lit("F")), "h|\\G(?<!^)[tv]", "F")
     first = cut(one.join(hits, ["document_id", "chash"], "left").select("document_id", "web", "chash", coded.alias("codes"), "lens", "doubtful"), "first", done=(pages,))
-    beside = (_total("ts") * 4 > WEAK_CHARS) & (_total("ts") > _total("evw"))
+    beside = _total("ts") > _total("evw")
     lines = first.where("size(doubtful) > 0").select("document_id", beside.alias("beside"), F.explode("doubtful").alias("x")).select("document_id", "beside", "x.*")
     notices = lines.groupBy("key").agg(F.count("*").alias("n"), F.count_if("beside").alias("real")).where("real * 2 >= n").select("key")
     more = lines.join(notices, "key").groupBy("document_id").agg(F.collect_set("pos").alias("more"))
@@ -379,11 +458,9 @@ def page_codes(docs: DataFrame) -> DataFrame:
 def with_residue(pages: DataFrame) -> DataFrame:
     """Adds ``residue``: evidence makes up at least half of what is left when furniture is subtracted."""
     strong, weak, rest = _total("e"), _total("vw"), _total("ts")
-    whole = strong + weak + rest
-    small, tiny = whole * 2 <= WEAK_CHARS, whole * 4 <= WEAK_CHARS
-    found = (strong >= weak + rest) | (small & (strong + weak >= rest)) | (tiny & (strong * 6 >= rest))
+    found = (strong + weak >= rest) | (strong * STRONG_CHARS >= rest * (strong + weak + rest))
     return (
-        pages.where("codes RLIKE '[evw]'").select("*", F.when(strong > 0, found).otherwise(small & (weak >= rest)).alias("residue"))
+        pages.where("codes RLIKE '[evw]'").select("*", F.when(strong > 0, found).otherwise(weak >= rest).alias("residue"))
         .unionByName(pages.where("NOT codes RLIKE '[evw]'").select("*", F.lit(False).alias("residue")))
     )
 
