@@ -217,7 +217,7 @@ STRONG_CHARS = 1800
 #: An item of a line has so many words at most.
 ITEM_WORDS = 4
 LINES = (
-    "document_id string, web boolean, host string, chash long, sig int, codes string, lens array<int>, keys array<long>, titles array<long>, "
+    "document_id string, web boolean, host string, chash long, sig int, sig2 int, codes string, lens array<int>, keys array<long>, titles array<long>, "
     "counted array<long>, item_keys array<long>, item_lines array<int>, item_needs array<int>"
 )
 
@@ -303,19 +303,19 @@ def _items(words: _Words, t: str, bare: str, site: str) -> tuple[list[int], bool
 
 
 def _page(words: _Words, content: str, host: str | None, web: bool, site: str) -> tuple:
-    """codes, lens, keys, titles, counted item keys, item keys looked up with their lines and the number of items there, signature."""
+    """codes, lens, keys, titles, counted item keys, item keys looked up with their lines and the number of items there, signatures of the longest and second longest line."""
     codes: list[str] = []
     lens: list[int] = []
     keys: list[int | None] = []
     titles: list[int | None] = []
     counted: list[int] = []
     items: tuple[list[int], list[int], list[int]] = ([], [], [])
-    longest, texts = "", []
+    longest, second, texts = "", "", []
     for at, raw in enumerate(content.split("\n")):
         t = raw.replace("\u00a0", " ").replace("\u3000", " ").strip()
         n, key, title = len(t), None, None
-        if n > len(longest):
-            longest = t
+        if n > len(second) and t != longest:
+            longest, second = (t, longest) if n > len(longest) else (longest, t)
         code = "s"
         if not n:
             code = "b"
@@ -356,7 +356,7 @@ def _page(words: _Words, content: str, host: str | None, web: bool, site: str) -
                 codes[i] = "e"
             elif any(x in low for x in WEAK_PARTS) and words.weak.search(low) and sum(len(x) for x in SENTENCE.split(low) if words.weak.search(x)) * 2 >= len(low):
                 codes[i] = "v" if c == "t" and BULLET.match(t) else "w"
-    return "".join(codes), lens, keys, titles, list(dict.fromkeys(counted)), *items, xxhash.xxh64_intdigest(longest.encode("utf-8", "surrogatepass")) % 64
+    return "".join(codes), lens, keys, titles, list(dict.fromkeys(counted)), *items, _hash(longest) % 64, _hash(second) % 64
 
 
 SITE = re.compile(r"^(?:(?:www|news|read|m|blog)\.)?([^.-]+?)(?:online|web)?(?:-[^.]*)?\.")
@@ -365,7 +365,7 @@ SITE = re.compile(r"^(?:(?:www|news|read|m|blog)\.)?([^.-]+?)(?:online|web)?(?:-
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     schema = pa.schema([
-        ("document_id", pa.string()), ("web", pa.bool_()), ("host", pa.string()), ("chash", pa.int64()), ("sig", pa.int32()),
+        ("document_id", pa.string()), ("web", pa.bool_()), ("host", pa.string()), ("chash", pa.int64()), ("sig", pa.int32()), ("sig2", pa.int32()),
         ("codes", pa.string()), ("lens", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("titles", pa.list_(pa.int64())),
         ("counted", pa.list_(pa.int64())), ("item_keys", pa.list_(pa.int64())), ("item_lines", pa.list_(pa.int32())), ("item_needs", pa.list_(pa.int32())),
     ])
@@ -377,8 +377,8 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host, web = hosts[i].as_py(), webs[i].as_py()
                 m = SITE.match(host) if host else None
                 site = m[1] if m and len(m[1]) >= 4 else ""
-                *found, sig = _page(words, contents[i].as_py(), host, web, site)
-                for column, value in zip(rows, (ids[i].as_py(), web, host, hashes[i].as_py(), sig, *found)):
+                *found, sig, sig2 = _page(words, contents[i].as_py(), host, web, site)
+                for column, value in zip(rows, (ids[i].as_py(), web, host, hashes[i].as_py(), sig, sig2, *found)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
@@ -400,17 +400,20 @@ def line_table(docs: DataFrame) -> DataFrame:
 def template_keys(pages: DataFrame) -> DataFrame:
     """Line hashes that are template: key, only_host (null where it is template of several hosts, and so of any).
 
-    A hash also found marked as a heading ("## ...") is a heading of articles, not template.
+    Texts are told apart by their longest line, and by the second longest, as the longest may be template itself; the
+    latter counts where most pages with the line differ in it. A hash also
+    found marked as a heading ("## ...") is a heading of articles, not template.
     """
     web = pages.where("web AND host IS NOT NULL")
     totals = web.groupBy("host").agg(F.count("*").alias("pages"))
     per_host = (
-        web.select("host", "sig", F.explode(F.array_distinct(F.concat("keys", "counted"))).alias("key")).where("key IS NOT NULL").groupBy("host", "key")
-        .agg(F.count("*").alias("n"), F.expr("bit_or(shiftleft(1L, sig))").alias("mask"))
-        .where((F.col("n") >= MIN_PAGES) & (F.bit_count("mask") >= MIN_PAGES))
+        web.select("host", "sig", "sig2", F.explode(F.array_distinct(F.concat("keys", "counted"))).alias("key")).where("key IS NOT NULL").groupBy("host", "key")
+        .agg(F.count("*").alias("n"), F.expr("bit_count(bit_or(shiftleft(1L, sig)))").alias("texts"), F.expr("bit_count(bit_or(shiftleft(1L, sig2)))").alias("others"))
+        .where((F.col("n") >= MIN_PAGES) & (F.greatest("texts", "others") >= MIN_PAGES))
     )
     headings = pages.select(F.explode("titles").alias("key")).where("key IS NOT NULL").distinct()
-    enough = (F.bit_count("mask") >= MIN_TEXTS) | (F.col("n") >= MIN_SHARE * F.col("pages"))
+    small = (F.col("texts") >= MIN_PAGES) & (F.col("n") >= MIN_SHARE * F.col("pages"))
+    enough = small | (F.col("texts") >= MIN_TEXTS) | ((F.col("others") >= MIN_TEXTS) & (F.col("others") * 2 >= F.least("n", F.lit(64))))
     kept = per_host.join(totals, "host").where(enough).join(headings, "key", "left_anti")
     return kept.groupBy("key").agg(F.count("*").alias("hosts"), F.min("host").alias("h")).select("key", F.when(F.col("hosts") < LIFT_HOSTS, F.col("h")).alias("only_host"))
 
