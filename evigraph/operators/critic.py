@@ -14,19 +14,29 @@ def split_iteration(triplets: DataFrame, iteration: int) -> tuple[DataFrame, Dat
     return triplets.where(now), triplets.where(~now)
 
 
+def _statements(triplets: DataFrame, name: str) -> DataFrame:
+    return triplets.where("subject <> '' AND predicate <> '' AND object <> ''").select("subject", "predicate", F.col("object").alias(name)).distinct()
+
+
 def candidate_contradictions(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """contradiction_id, subject, predicate, claim_a (existing object), claim_b (new object) where the objects differ.
+    """contradiction_id, subject, predicate, claim_a (existing object), claim_b (new object): every pair of differing objects.
 
-    Both sides are reduced to distinct statements first. A new object is compared with the smallest existing object of its
-    (subject, predicate), or with the largest where it is the smallest itself: every new object that differs from any existing one
-    gives one candidate, k of them instead of k x k pairs. claim_a is one of the existing objects in conflict, not all of them.
+    Both sides are reduced to distinct statements before the join, so repeated triplets cost nothing; a (subject, predicate) of
+    very many objects is split by adaptive execution. ``contradiction_groups`` counts the pairs without making them.
     """
-    old = existing.where("subject <> '' AND predicate <> '' AND object <> ''").groupBy("subject", "predicate").agg(F.min("object").alias("lo"), F.max("object").alias("hi"))
-    fresh = new.where("subject <> '' AND predicate <> '' AND object <> ''").select("subject", "predicate", F.col("object").alias("claim_b")).distinct()
-    pairs = fresh.join(old, ["subject", "predicate"]).withColumn("claim_a", F.expr("if(lo <> claim_b, lo, hi)")).where("claim_a <> claim_b")
+    pairs = _statements(new, "claim_b").join(_statements(existing, "claim_a"), ["subject", "predicate"]).where("claim_a <> claim_b")
     return pairs.select(contradiction_id(F.col("subject"), F.col("claim_a"), F.col("claim_b")).alias("contradiction_id"), "subject", "predicate", "claim_a", "claim_b")
 
 
+def contradiction_groups(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """subject, predicate, new_objects, existing_objects, pairs (of differing objects), for groups with such a pair."""
+    both = _statements(new, "object").withColumn("side", F.lit(1)).unionByName(_statements(existing, "object").withColumn("side", F.lit(2)))
+    each = both.groupBy("subject", "predicate", "object").agg(F.sum("side").alias("side"))
+    counts = each.groupBy("subject", "predicate").agg(F.count_if(F.col("side") != 2).alias("new_objects"), F.count_if(F.col("side") != 1).alias("existing_objects"), F.count_if(F.col("side") == 3).alias("same"))
+    pairs = F.col("new_objects") * F.col("existing_objects") - F.col("same")
+    return counts.select("subject", "predicate", "new_objects", "existing_objects", pairs.alias("pairs")).where("pairs > 0")
+
+
 def candidate_gaps(triplets: DataFrame, entities: DataFrame, prefix: str = "What is known about ") -> DataFrame:
     """gap_id, question for endpoints that the registry lacks (names trimmed)."""
     ends = triplets.select(F.explode(F.array("subject", "object")).alias("name")).select(F.trim("name").alias("name")).where("name <> ''").distinct()

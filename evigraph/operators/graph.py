@@ -38,16 +38,19 @@ def degrees(triplets: DataFrame) -> DataFrame:
 def disputed_entities(entities: DataFrame, contradictions: DataFrame) -> DataFrame:
     """name of registry entities that occur, letter case apart, inside a topic or claim. Status plays no part; empty names match nothing.
 
-    A substring join without a nested loop: a text holds a name only if it holds the name's first 8 (or 3, or 1) characters, so
-    names join on these with the texts' character runs, and only such pairs are tested.
+    A substring join without a nested loop: names and texts meet on a character run of 8 (3, 1 for short names). Of its runs a
+    name takes the one that is in the fewest texts, and a name with a run that is in none is done with, so names that begin
+    alike don't meet all texts.
     """
     names = entities.where("canonical_name <> ''").select(F.col("canonical_name").alias("name"), F.lower("canonical_name").alias("low")).distinct()
-    width = F.when(F.length("low") >= 8, 8).when(F.length("low") >= 3, 3).otherwise(1)
-    names = names.select("name", "low", F.substring("low", F.lit(1), width).alias("gram"))
     texts = contradictions.select(F.explode(F.array("topic", "claim_a", "claim_b")).alias("text")).where("text IS NOT NULL").select(F.lower("text").alias("text")).distinct()
-    runs = F.flatten(F.transform(F.array(*map(F.lit, (8, 3, 1))), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - w + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, w))))
-    grams = texts.select("text", F.explode(F.array_distinct(runs)).alias("gram"))
-    return grams.join(names, "gram").where(F.contains("text", F.col("low"))).select("name").distinct()
+    runs = lambda c, w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - w + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, w))
+    grams = texts.select("text", F.explode(F.array_distinct(F.flatten(F.array(*[runs("text", F.lit(w)) for w in (8, 3, 1)])))).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    width = F.when(F.length("low") >= 8, F.lit(8)).when(F.length("low") >= 3, F.lit(3)).otherwise(F.lit(1))
+    held = names.select("name", "low", F.explode(F.array_distinct(runs("low", width))).alias("gram")).join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = held.groupBy("name", "low").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.min("n").alias("n")).where("n > 0").select("name", "low", "gram")
+    return grams.join(rarest, "gram").where(F.contains("text", F.col("low"))).select("name").distinct()
 
 
 def nodes(entities: DataFrame, triplets: DataFrame, contradictions: DataFrame) -> DataFrame:
@@ -91,6 +94,12 @@ def number_rows(df: DataFrame, order: list[str], name: str = "human_readable_id"
     return parts.withColumn("_local", local).join(F.broadcast(shifts), "_part").withColumn(name, F.col("_local") + F.col("_shift")).drop("_part", "_local", "_shift")
 
 
+def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: the first by all columns as JSON, so that the choice doesn't depend on the order of rows."""
+    row = F.struct(*df.columns)
+    return df.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("_r")).select("_r.*")
+
+
 FINAL_RELATIONSHIPS = ["source", "target", "combined_degree", "human_readable_id", "id"]
 FINAL_ENTITIES = ["title", "degree", "human_readable_id", "id"]
 
@@ -106,7 +115,7 @@ def finalize_relationships(relationships: DataFrame, ord_column: str | None = No
         first = F.row_number().over(Window.partitionBy("source", "target").orderBy(ord_column))
         one = relationships.withColumn("_first", first).where("_first = 1").drop("_first")
     else:
-        one = relationships.dropDuplicates(["source", "target"])
+        one = first_rows(relationships, ["source", "target"])
     out = one.join(d.select(F.col("name").alias("source"), F.col("degree").alias("_a")), "source", "left").join(d.select(F.col("name").alias("target"), F.col("degree").alias("_b")), "target", "left")
     out = out.withColumn("combined_degree", F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0))).drop("_a", "_b")
     out = number_rows(out, order).withColumn("id", F.sha1(F.concat_ws("\u0001", "source", "target")))
@@ -114,9 +123,9 @@ def finalize_relationships(relationships: DataFrame, ord_column: str | None = No
 
 
 def finalize_entities(entities: DataFrame, relationships: DataFrame) -> DataFrame:
-    """First row per title (by all columns' hash), degree, consecutive ids by title."""
+    """First row per title (by all columns), degree, consecutive ids by title."""
     d = undirected_degrees(relationships).withColumnRenamed("name", "title")
-    out = entities.dropDuplicates(["title"]).drop("degree").join(d, "title", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    out = first_rows(entities, ["title"]).drop("degree").join(d, "title", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     out = number_rows(out, ["title"]).withColumn("id", F.sha1("title"))
     return out.select(*[c for c in FINAL_ENTITIES if c in out.columns], *[c for c in out.columns if c not in FINAL_ENTITIES])
 
@@ -124,7 +133,7 @@ def finalize_entities(entities: DataFrame, relationships: DataFrame) -> DataFram
 def export_nodes(entities: DataFrame, triplets: DataFrame, contradictions: DataFrame) -> DataFrame:
     """Flat node attributes for exports."""
     e = entities.select(F.col("canonical_name").alias("name"), "type", "description", "confidence", F.size(F.coalesce("aliases", F.array())).alias("a"), F.size(F.coalesce("evidence_refs", F.array())).alias("r"), F.size(F.coalesce("source_document_ids", F.array())).alias("s"))
-    e = e.dropDuplicates(["name"])
+    e = first_rows(e, ["name"])
     n = nodes(entities, triplets, contradictions).join(e, "name", "left")
     return n.select(
         F.col("name").alias("node_id"), F.col("name").alias("label"), F.coalesce("type", F.lit("")).alias("type"), F.coalesce("description", F.lit("")).alias("description"),
@@ -157,7 +166,7 @@ def layout(named_degrees: DataFrame, top: int = 200) -> DataFrame:
     return ranked.select("name", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
-def components(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """name, component (its smallest name) of the undirected graph of (source, target); stops when no label changes.
 
     Labels move along edges and then to the label of the label, so rounds grow with the logarithm of the longest path.
@@ -165,16 +174,14 @@ def components(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
     both = pairs.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct()
     arcs = cut(both.unionByName(both.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct(), "arcs")
     labels = cut(arcs.select(F.col("source").alias("name")).distinct().withColumn("component", F.col("name")), "labels")
-    for _ in range(max_rounds):
+    while True:
         offered = arcs.join(labels.select(F.col("name").alias("source"), "component"), "source").groupBy(F.col("target").alias("name")).agg(F.min("component").alias("offer"))
         near = labels.join(offered, "name").select("name", F.col("component").alias("old"), F.least("component", "offer").alias("component"))
         jump = labels.select(F.col("name").alias("component"), F.col("component").alias("up"))
-        new = cut(near.join(jump, "component").select("name", "old", F.least("component", "up").alias("component")), "labels")
-        changed = new.where("old <> component").limit(1).count()
-        labels = new.select("name", "component")
-        if not changed:
-            break
-    return labels
+        new = cut(near.join(jump, "component").select("name", "old", F.least("component", "up").alias("component")), "labels", done=(labels,))
+        labels = new
+        if not new.where("old <> component").limit(1).count():
+            return new.select("name", "component")
 
 
 def communities(pairs: DataFrame, levels: int = 3, rounds: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions.text import statement
 from evigraph.operators import graph
+from evigraph.runtime import cut
 
 STATUS = {"open": 0, "investigating": 1, "accepted_uncertainty": 2, "resolved": 3}
 SEVERITY = {"high": 0, "low": 1}
@@ -21,20 +22,27 @@ def rank_of(column: str, order: dict[str, int]):
     return out
 
 
-def top_entities(entities: DataFrame, triplets: DataFrame, contradictions: DataFrame, k: int = 8) -> DataFrame:
-    """Registry entities: disputed first, then degree, centrality, confidence (null as 0), source documents, name."""
+def top_entities(entities: DataFrame, triplets: DataFrame, contradictions: DataFrame, k: int = 8, nodes: DataFrame | None = None) -> DataFrame:
+    """Registry entities: disputed first, then degree, centrality, confidence (null as 0), source documents, name.
+
+    ``nodes``: the graph's nodes where they are made already.
+    """
     sources = F.size(F.coalesce("source_document_ids", F.array()))
     e = entities.where("canonical_name IS NOT NULL").groupBy("canonical_name").agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"), F.max(sources).alias("source_count"))
-    n = graph.nodes(entities, triplets, contradictions).where("registered").withColumnRenamed("name", "canonical_name")
+    n = (nodes if nodes is not None else graph.nodes(entities, triplets, contradictions)).where("registered").withColumnRenamed("name", "canonical_name")
     ranked = e.join(n, "canonical_name").orderBy(F.desc("disputed"), F.desc("degree"), F.desc("centrality"), F.desc("confidence"), F.desc("source_count"), F.lower("canonical_name"), "canonical_name")
     return ranked.select("canonical_name", "disputed", "degree", "centrality", "confidence", "source_count").limit(k)
 
 
-def representative_triplets(entities: DataFrame, triplets: DataFrame, contradictions: DataFrame, k: int = 12, top: DataFrame | None = None) -> DataFrame:
-    """Triplets with ends among the top entities, confident, well connected, recent; ties by triplet_id and all columns."""
-    top = top if top is not None else top_entities(entities, triplets, contradictions)
+def representative_triplets(entities: DataFrame, triplets: DataFrame, contradictions: DataFrame, k: int = 12, top: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Triplets with ends among the top entities, confident, well connected, recent; ties by triplet_id and all columns.
+
+    Nodes are made once, written, and read for the top entities and for both ends.
+    """
+    nodes = nodes if nodes is not None else cut(graph.nodes(entities, triplets, contradictions), "nodes")
+    top = top if top is not None else top_entities(entities, triplets, contradictions, nodes=nodes)
     names = F.broadcast(top.select(F.col("canonical_name").alias("name"), F.lit(1).alias("top")))  # k rows
-    n = graph.nodes(entities, triplets, contradictions).select("name", "degree", "centrality")
+    n = nodes.select("name", "degree", "centrality")
     t = triplets
     for end in ("subject", "object"):
         t = t.join(n.select(F.col("name").alias(end), F.col("degree").alias(f"{end}_degree"), F.col("centrality").alias(f"{end}_c")), end, "left")
@@ -99,8 +107,9 @@ def document_index(documents: DataFrame, representative: DataFrame, contradictio
 
 def writer_context(documents: DataFrame, entities: DataFrame, triplets: DataFrame, contradictions: DataFrame, gaps: DataFrame, query: str = "") -> DataFrame:
     """One row of bounded JSON arrays: what a report is written from. No document text enters it."""
-    top = top_entities(entities, triplets, contradictions)
-    rep = representative_triplets(entities, triplets, contradictions, top=top)
+    nodes = cut(graph.nodes(entities, triplets, contradictions), "nodes")
+    top = cut(top_entities(entities, triplets, contradictions, nodes=nodes), "top")
+    rep = cut(representative_triplets(entities, triplets, contradictions, top=top, nodes=nodes), "representative")
     cons, gap = select_contradictions(contradictions), select_gaps(gaps)
     parts = {"top_entities": top, "representative_triplets": rep, "candidate_pillars": pillars(rep, top), "contradictions": cons, "research_gaps": gap, "document_index": document_index(documents, rep, cons)}
     out = graph.graph_counts(entities, triplets).select(F.lit(query).alias("query"), F.to_json(F.struct("node_count", "edge_count", "density")).alias("metrics"))

@@ -123,17 +123,18 @@ def finalize_entities(spark, sf_dir):
 
 
 @query(f"""WITH {NODES}, e AS (SELECT canonical_name, max(coalesce(len(aliases), 0)) AS a, max(coalesce(len(evidence_refs), 0)) AS r, max(coalesce(len(source_document_ids), 0)) AS s, max(round(coalesce(confidence, 0.0), 4)) AS c FROM entity_records GROUP BY canonical_name)
-SELECT name AS node_id, disputed::VARCHAR AS disputed, coalesce(a, 0) AS alias_count, coalesce(r, 0) AS evidence_ref_count, coalesce(s, 0) AS source_document_count, coalesce(c, 0.0) AS confidence FROM nodes LEFT JOIN e ON e.canonical_name = name""")
+SELECT name AS node_id, name AS label, disputed::VARCHAR AS disputed, coalesce(a, 0) AS alias_count, coalesce(r, 0) AS evidence_ref_count, coalesce(s, 0) AS source_document_count, coalesce(c, 0.0) AS confidence FROM nodes LEFT JOIN e ON e.canonical_name = name""")
 def export_nodes(spark, sf_dir):
-    return graph.export_nodes(*Tables(spark, sf_dir).ect()).select("node_id", "disputed", "alias_count", "evidence_ref_count", "source_document_count", "confidence")
+    return graph.export_nodes(*Tables(spark, sf_dir).ect()).select("node_id", "label", "disputed", "alias_count", "evidence_ref_count", "source_document_count", "confidence")
 
 
 @query(f"""WITH {NODES} SELECT subject AS source, object AS target, coalesce(string_agg(DISTINCT predicate, ' | ' ORDER BY predicate), '') AS label, count(DISTINCT predicate) AS predicate_count, count(*) AS weight,
   (bool_or(subject IN (SELECT name FROM bad)) OR bool_or(object IN (SELECT name FROM bad)))::VARCHAR AS disputed,
+  coalesce(string_agg(DISTINCT predicate, ';' ORDER BY predicate), '') AS predicates, coalesce(string_agg(triplet_id, ';' ORDER BY triplet_id) FILTER (triplet_id <> ''), '') AS triplet_ids,
   coalesce(string_agg(source_document_id, ';' ORDER BY source_document_id) FILTER (source_document_id <> ''), '') AS source_document_ids
 FROM triplet_records WHERE subject IS NOT NULL AND object IS NOT NULL GROUP BY subject, object""")
 def export_edges(spark, sf_dir):
-    return graph.export_edges(*Tables(spark, sf_dir).ect()).select("source", "target", "label", "predicate_count", "weight", "disputed", "source_document_ids")
+    return graph.export_edges(*Tables(spark, sf_dir).ect()).select("source", "target", "label", "predicates", "predicate_count", "weight", "disputed", "triplet_ids", "source_document_ids")
 
 
 @query(f"""WITH {NODES}, best AS (SELECT name, degree FROM nodes ORDER BY degree DESC, lower(name), name LIMIT 200),
@@ -154,12 +155,34 @@ def two_hops(spark, sf_dir):
     return graph.k_hop(both, start, 2)
 
 
-@query()
+def _components_sql() -> str:
+    """Least name reached, by a recursion that keeps one row a node."""
+    return """cc(name, component) USING KEY (name) AS (SELECT a, least(a, min(b)) FROM both_ways GROUP BY a
+  UNION SELECT w.b, min(c.component) FROM cc c JOIN both_ways w ON w.a = c.name JOIN recurring.cc k ON k.name = w.b WHERE c.component < k.component GROUP BY w.b)"""
+
+
+BOTH_WAYS = "both_ways AS (SELECT lo AS a, hi AS b FROM und UNION SELECT hi, lo FROM und)"
+
+
+def _communities_sql(levels: int = 3, rounds: int = 5) -> str:
+    """Components, then the rounds of label propagation written out."""
+    parts = [UNDIRECTED, BOTH_WAYS, _components_sql(), """w AS (SELECT least(subject, object) AS a, greatest(subject, object) AS b, count(*) AS n FROM triplet_records WHERE subject IS NOT NULL AND object IS NOT NULL AND subject <> object GROUP BY ALL),
+arcs AS (SELECT a AS source, b AS target, n FROM w UNION ALL SELECT b, a, n FROM w), l0 AS (SELECT name, component AS community FROM cc WHERE name IN (SELECT source FROM arcs))"""]
+    for level in range(1, levels):
+        parts.append(f"i{level} AS MATERIALIZED (SELECT source, target, n FROM arcs JOIN l{level - 1} p ON p.name = source JOIN l{level - 1} q ON q.name = target WHERE p.community = q.community), v{level}_0 AS (SELECT name, name AS community FROM l{level - 1})")
+        for r in range(1, rounds + 1):
+            parts.append(f"""v{level}_{r} AS MATERIALIZED (SELECT name, coalesce(best, community) AS community FROM v{level}_{r - 1} LEFT JOIN (SELECT target AS name, arg_min(community, (-n, community)) AS best FROM (
+  SELECT target, community, sum(n) AS n FROM i{level} JOIN v{level}_{r - 1} ON name = source GROUP BY ALL) GROUP BY target) USING (name))""")
+        parts.append(f"l{level} AS (SELECT * FROM v{level}_{rounds})")
+    return "WITH RECURSIVE " + ",\n".join(parts) + " " + " UNION ALL ".join(f"SELECT name, {level}::INT AS level, community FROM l{level}" for level in range(levels))
+
+
+@query(_communities_sql())
 def communities(spark, sf_dir):
     return graph.communities(_relationships(Tables(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH RECURSIVE {UNDIRECTED}, {BOTH_WAYS}, {_components_sql()} SELECT name, component FROM cc")
 def connected_components(spark, sf_dir):
     return graph.components(_relationships(Tables(spark, sf_dir)))
 
@@ -170,7 +193,23 @@ def representative_triplets(spark, sf_dir):
     return synthesis.representative_triplets(*Tables(spark, sf_dir).ect()).drop("evidence", "source_url")
 
 
-@query()
+PILLARS = REP + """,
+ranked AS (SELECT *, row_number() OVER (ORDER BY disputed DESC, degree DESC, centrality DESC, confidence DESC, source_count DESC, lower(canonical_name), canonical_name) AS i FROM top),
+ts AS (SELECT list({'rank': rank, 'id': triplet_id, 's': subject, 'o': object, 'p': predicate} ORDER BY rank) AS ts FROM rep),
+walk(i, used, n, anchor, taken) AS (SELECT 0::BIGINT, []::VARCHAR[], 0, NULL::VARCHAR, NULL::STRUCT(id VARCHAR, p VARCHAR)[] UNION ALL
+  SELECT r.i, CASE WHEN w.n < 4 THEN list_concat(w.used, list_transform(t, lambda x: x.id)) ELSE w.used END, w.n + (w.n < 4 AND len(t) > 0)::INT, CASE WHEN w.n < 4 AND len(t) > 0 THEN r.canonical_name END, t
+  FROM walk w JOIN ranked r ON r.i = w.i + 1, LATERAL (SELECT list_transform(list_filter(ts, lambda x: (x.s = r.canonical_name OR x.o = r.canonical_name) AND NOT list_contains(w.used, x.id))[1:4], lambda x: {'id': x.id, 'p': x.p}) AS t FROM ts)),
+made AS (SELECT n AS pillar, anchor AS anchor_entity, i, taken FROM walk WHERE anchor IS NOT NULL)"""
+
+
+def _firsts(column: str, k: int) -> str:
+    """The first k distinct values of a list, in its order."""
+    return f"array_to_string(list_filter({column}, lambda x, j: list_position({column}, x) = j)[1:{k}], ', ')"
+
+
+@query(f"""WITH RECURSIVE {PILLARS} SELECT pillar, anchor_entity, anchor_entity || ' - ' || {_firsts("ps", 2)} AS title_hint, {_firsts("ps", 3)} AS predicate_hints, array_to_string(list_transform(taken, lambda x: x.id), ';') AS triplet_ids
+FROM (SELECT *, list_transform(taken, lambda x: x.p) AS ps FROM made)
+UNION ALL SELECT 1, ts[1].s, 'Primary graph relationships', {_firsts("list_transform(ts[1:4], lambda x: x.p)", 3)}, array_to_string(list_transform(ts[1:4], lambda x: x.id), ';') FROM ts WHERE len(ts) > 0 AND NOT EXISTS (SELECT 1 FROM made)""")
 def candidate_pillars(spark, sf_dir):
     e, t, c = Tables(spark, sf_dir).ect()
     top = synthesis.top_entities(e, t, c)
@@ -238,15 +277,24 @@ def unanalysed_documents(spark, sf_dir):
 LAST = "(SELECT max(extraction_iteration) FROM triplet_records)"
 
 
-@query(f"""WITH old AS (SELECT subject, predicate, min(object) AS claim_a FROM triplet_records WHERE extraction_iteration IS DISTINCT FROM {LAST} AND subject <> '' AND predicate <> '' AND object <> '' GROUP BY ALL),
-fresh AS (SELECT DISTINCT subject, predicate, object AS claim_b FROM triplet_records WHERE extraction_iteration = {LAST} AND subject <> '' AND predicate <> '' AND object <> '')
-SELECT 'con_' || left(sha1(subject || '::' || claim_a || '::' || claim_b), 16) AS contradiction_id, subject, predicate, claim_a, claim_b FROM fresh JOIN old USING (subject, predicate) WHERE claim_a <> claim_b""")
+STATEMENTS = f"""fresh AS (SELECT DISTINCT subject, predicate, object AS claim_b FROM triplet_records WHERE extraction_iteration = {LAST} AND subject <> '' AND predicate <> '' AND object <> ''),
+old AS (SELECT DISTINCT subject, predicate, object AS claim_a FROM triplet_records WHERE extraction_iteration IS DISTINCT FROM {LAST} AND subject <> '' AND predicate <> '' AND object <> '')"""
+
+
+def _new_and_existing(t: Tables) -> tuple[DataFrame, DataFrame]:
+    last = t.triplet_records.agg(F.max("extraction_iteration")).first()[0]
+    return critic.split_iteration(t.triplet_records, last)
+
+
+@query(f"""WITH {STATEMENTS} SELECT 'con_' || left(sha1(subject || '::' || claim_a || '::' || claim_b), 16) AS contradiction_id, subject, predicate, claim_a, claim_b FROM fresh JOIN old USING (subject, predicate) WHERE claim_a <> claim_b""")
 def candidate_contradictions(spark, sf_dir):
-    t = Tables(spark, sf_dir).triplet_records
-    last = t.agg(F.max("extraction_iteration").alias("last"))
-    split = t.crossJoin(F.broadcast(last))  # one row
-    new = split.where("extraction_iteration = last").drop("last")
-    return critic.candidate_contradictions(new, split.where("NOT (extraction_iteration <=> last)").drop("last"))
+    return critic.candidate_contradictions(*_new_and_existing(Tables(spark, sf_dir)))
+
+
+@query(f"""WITH {STATEMENTS}, a AS (SELECT subject, predicate, count(*) AS new_objects FROM fresh GROUP BY ALL), b AS (SELECT subject, predicate, count(*) AS existing_objects FROM old GROUP BY ALL)
+SELECT subject, predicate, new_objects, existing_objects, pairs FROM (SELECT subject, predicate, count(*) AS pairs FROM fresh JOIN old USING (subject, predicate) WHERE claim_a <> claim_b GROUP BY ALL) JOIN a USING (subject, predicate) JOIN b USING (subject, predicate)""")
+def contradiction_groups(spark, sf_dir):
+    return critic.contradiction_groups(*_new_and_existing(Tables(spark, sf_dir)))
 
 
 @query("""WITH ends AS (SELECT DISTINCT trim(name, ' ') AS name FROM (SELECT subject AS name FROM triplet_records UNION ALL SELECT object FROM triplet_records) WHERE trim(name, ' ') <> '')
@@ -361,15 +409,17 @@ def conversion_counts(spark, sf_dir):
 
 
 # --- Projections, ingest, text -------------------------------------------------------------------------------------------
-@query("""WITH r AS (SELECT url, title, content, CASE WHEN length(content) >= 500 THEN content END AS raw, left(content, 200) AS body FROM source_documents WHERE url <> ''),
-x AS (SELECT DISTINCT url, title, body, raw FROM r)
-SELECT 'doc_' || left(sha1('all::' || url), 16) AS document_id, coalesce(nullif(trim(title, ' '), ''), url) AS title, CASE WHEN raw IS NOT NULL THEN 'tavily_raw_content' ELSE 'tavily_snippet' END AS acquisition_method, length(coalesce(raw, nullif(trim(body, ' '), '')))::INT AS n, CASE WHEN raw IS NOT NULL THEN 0 ELSE 1 END AS tier
-FROM x WHERE coalesce(raw, nullif(trim(body, ' '), '')) IS NOT NULL""")
+@query("""WITH r AS (SELECT DISTINCT url, title, content AS body, CASE WHEN acquisition_method = 'tavily_raw_content' THEN content END AS raw FROM source_documents WHERE url <> ''),
+e AS (SELECT url, arg_max(content, sha1(content)) AS c FROM source_documents WHERE acquisition_method = 'tavily_extract' AND url <> '' AND content <> '' GROUP BY url),
+s AS (SELECT url, arg_max(content, sha1(content)) AS c FROM source_documents WHERE acquisition_method = 'playwright' AND url <> '' AND content <> '' GROUP BY url),
+x AS (SELECT r.*, e.c AS extract, s.c AS scrape, coalesce(length(raw) >= 500, false) AS rich, nullif(trim(body, ' '), '') AS snippet FROM r LEFT JOIN e USING (url) LEFT JOIN s USING (url))
+SELECT 'doc_' || left(sha1('all::' || url), 16) AS document_id, coalesce(nullif(trim(title, ' '), ''), url) AS title, CASE WHEN rich THEN 'tavily_raw_content' WHEN extract IS NOT NULL THEN 'tavily_extract' WHEN scrape IS NOT NULL THEN 'playwright' ELSE 'tavily_snippet' END AS acquisition_method,
+  sha1(CASE WHEN rich THEN raw ELSE coalesce(extract, scrape, snippet) END) AS content_hash, CASE WHEN rich THEN 0 ELSE 1 END AS tier FROM x WHERE CASE WHEN rich THEN raw ELSE coalesce(extract, scrape, snippet) END IS NOT NULL""")
 def tiered_acquisition(spark, sf_dir):
-    d = Tables(spark, sf_dir).source_documents.where("url <> ''")
-    results = d.select("url", "title", F.substring("content", 1, 200).alias("body"), F.when(F.length("content") >= 500, F.col("content")).alias("raw_content")).distinct().withColumn("ord", F.lit(0))
-    none = spark.createDataFrame([], "url string, content string")
-    return acquire.tiered(results, none, none, "all").select("document_id", "title", "acquisition_method", F.length("content").alias("n"), "tier")
+    d = Tables(spark, sf_dir).source_documents
+    by = lambda m: d.where(F.col("acquisition_method") == m).select("url", "content")
+    results = d.where("url <> ''").select("url", "title", F.col("content").alias("body"), F.when(F.col("acquisition_method") == "tavily_raw_content", F.col("content")).alias("raw_content")).distinct().withColumn("ord", F.lit(0))
+    return acquire.tiered(results, by("tavily_extract"), by("playwright"), "all").select("document_id", "title", "acquisition_method", F.sha1("content").alias("content_hash"), "tier")
 
 
 @query("""WITH l AS (SELECT DISTINCT document_id FROM source_documents WHERE source_type = 'local_resource'), x AS (SELECT trim(canonical_name, ' ') AS name, unnest(source_document_ids) AS document_id FROM entity_records)
@@ -432,7 +482,10 @@ def token_chunks(spark, sf_dir):
     return ingest.chunk_rows(Tables(spark, sf_dir).documents, "doc_id", "text", 120, 20).select("doc_id", "chunk", F.sha1("chunk_text").alias("chunk_hash"))
 
 
-@query()
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i < len(string_split(text, chr(10))) THEN x || chr(10) ELSE x END), lambda x: x <> '') AS ls FROM documents WHERE text IS NOT NULL),
+f(doc_id, ls, i, part, cur) AS (SELECT doc_id, ls, 1, 1, ls[1] FROM l WHERE len(ls) > 0 UNION ALL
+  SELECT doc_id, ls, i + 1, CASE WHEN length(cur) + length(ls[i + 1]) <= 2000 THEN part ELSE part + 1 END, CASE WHEN length(cur) + length(ls[i + 1]) <= 2000 THEN cur || ls[i + 1] ELSE ls[i + 1] END FROM f WHERE i < len(ls))
+SELECT doc_id, part, length(p)::INT AS n, sha1(p) AS part_hash FROM (SELECT doc_id, part, arg_max(cur, i) AS p FROM f GROUP BY ALL)""")
 def line_parts(spark, sf_dir):
     return ingest.line_parts(Tables(spark, sf_dir).documents, "doc_id", "text", 2000).select("doc_id", "part", F.length("part_text").alias("n"), F.sha1("part_text").alias("part_hash"))
 
@@ -495,12 +548,40 @@ def error_classes(spark, sf_dir):
     return d.select("document_id", T.error_class(F.col("title")).alias("class"), T.quota_error(F.col("title")).alias("quota"))
 
 
-@query("""WITH c AS (SELECT coalesce(acquisition_method, '') AS method, count(*) FILTER (content <> '') AS outputs, count(*) AS inputs FROM source_documents GROUP BY 1)
-SELECT method, outputs, inputs, CASE WHEN outputs > 0 THEN 'IDLE_WITH_OUTPUT' WHEN inputs > 0 THEN 'READY_TO_INDEX' ELSE 'NOT_INITIALIZED' END AS status FROM c""")
+@query("""WITH c AS (SELECT coalesce(acquisition_method, '') AS method, coalesce(source_type, '') AS kind, count(*) FILTER (query IS NULL) AS processes, count(*) FILTER (content <> '' AND title IS NOT NULL) AS outputs, count(*) FILTER (title IS NOT NULL) AS inputs, count(*) FILTER (url <> '') AS settings FROM source_documents GROUP BY ALL),
+x AS (SELECT * FROM c UNION ALL SELECT 'busy', '', 1, outputs, inputs, settings FROM c UNION ALL SELECT 'waiting', '', 0, 0, inputs, settings FROM c UNION ALL SELECT 'configured', '', 0, 0, 0, settings FROM c UNION ALL SELECT 'new', '', 0, 0, 0, 0 FROM c)
+SELECT method, processes, outputs, inputs, settings, CASE WHEN processes > 0 THEN 'RUNNING' WHEN outputs > 0 THEN 'IDLE_WITH_OUTPUT' WHEN inputs > 0 THEN 'READY_TO_INDEX' WHEN settings > 0 THEN 'INITIALIZED' ELSE 'NOT_INITIALIZED' END AS status FROM x""")
 def job_status(spark, sf_dir):
+    """Groups of documents as jobs, and each of them again with what it has taken away step by step: all five states occur."""
     d = Tables(spark, sf_dir).source_documents
-    c = d.groupBy(F.coalesce("acquisition_method", F.lit("")).alias("method")).agg(F.count_if(F.col("content") != "").alias("outputs"), F.count("*").alias("inputs"))
-    return jobs.job_status(c.withColumn("processes", F.lit(0)).withColumn("settings", F.lit(0))).select("method", "outputs", "inputs", "status")
+    c = d.groupBy(F.coalesce("acquisition_method", F.lit("")).alias("method"), F.coalesce("source_type", F.lit("")).alias("kind")).agg(
+        F.count_if(F.col("query").isNull()).alias("processes"), F.count_if((F.col("content") != "") & F.col("title").isNotNull()).alias("outputs"),
+        F.count_if(F.col("title").isNotNull()).alias("inputs"), F.count_if(F.col("url") != "").alias("settings"),
+    )
+    zero = F.lit(0).cast("long")
+    step = lambda name, **kept: c.select(F.lit(name).alias("method"), "kind", *[kept.get(x, F.col(x)).alias(x) for x in ("processes", "outputs", "inputs", "settings")])
+    rows = [step("busy", processes=F.lit(1).cast("long")), step("waiting", processes=zero, outputs=zero), step("configured", processes=zero, outputs=zero, inputs=zero), step("new", processes=zero, outputs=zero, inputs=zero, settings=zero)]
+    for r in rows:
+        c = c.unionByName(r)
+    return jobs.job_status(c).select("method", "processes", "outputs", "inputs", "settings", "status")
+
+
+@query("""WITH o AS (SELECT (SELECT min(contradiction_id) FROM contradiction_records WHERE status <> 'resolved' AND severity = 'high') AS con, (SELECT gap_id FROM research_gaps WHERE status <> 'resolved' ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 99 END, gap_id LIMIT 1) AS gap)
+SELECT 'capped' AS scenario, 'finalize' AS route, NULL AS contradiction_id, NULL AS gap_id UNION ALL SELECT 'conflict', CASE WHEN con IS NOT NULL THEN 'resolve_conflict' WHEN gap IS NOT NULL THEN 'resolve_gap' ELSE 'continue_research' END, con, CASE WHEN con IS NULL THEN gap END FROM o
+UNION ALL SELECT 'no conflict', CASE WHEN gap IS NOT NULL THEN 'resolve_gap' ELSE 'continue_research' END, NULL, gap FROM o UNION ALL SELECT 'saturated', 'finalize', NULL, NULL UNION ALL SELECT 'growing', 'continue_research', NULL, NULL""")
+def route_branches(spark, sf_dir):
+    """The decision in five situations: at the cap, with open conflicts, without them, saturated without gaps, growing without gaps."""
+    t = Tables(spark, sf_dir)
+    c, g, total = t.contradiction_records, t.research_gaps, t.triplet_records.count()
+    def case(name: str, cons: DataFrame, gaps: DataFrame, iteration: int, previous: int = 0) -> DataFrame:
+        m = routing.run_metrics(t.entity_records, t.triplet_records, cons, gaps, previous)
+        return routing.should_continue(m, cons, gaps, iteration, 6, "all").select(F.lit(name).alias("scenario"), "route", "contradiction_id", "gap_id")
+    none, closed = c.where("severity <> 'high' OR severity IS NULL"), g.where("status = 'resolved'")
+    cases = [case("capped", c, g, 6), case("conflict", c, g, 1), case("no conflict", none, g, 1), case("saturated", none, closed, 1, max(1, total - total // 20)), case("growing", none, closed, 1)]
+    out = cases[0]
+    for x in cases[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 @query("""SELECT extraction_iteration, count(*) AS triplets, count(*) FILTER (subject <> '' AND predicate <> '' AND object <> '') AS complete, count(*) FILTER (source_document_id IS NULL) AS unsourced FROM triplet_records GROUP BY 1""")

@@ -62,16 +62,20 @@ def _best(k: int):
 def vector_top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 10, block: int = 256) -> DataFrame:
     """query_id, key, rank by cosine similarity (9 places; ties by key) of a stated query set against all rows; keys are whole numbers.
 
-    Both sides are packed into blocks of vectors. Each pair of blocks is one matrix product, and of it each query keeps its
-    best ``k``, before anything is shuffled by query. Null, empty and zero vectors are left out; so are pairs of other widths.
+    Both sides are packed into blocks of vectors. Blocks of rows fall into parts, as many as shuffle partitions; blocks of the
+    query set are sent to each part, so no task gets all rows and nothing is broadcast. Each pair of blocks is one matrix
+    product, and of it each query keeps its best ``k``, before anything is shuffled by query. Null, empty and zero vectors are
+    left out; so are pairs of other widths.
     """
     def packed(df: DataFrame, size: int) -> DataFrame:
         base = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
         return base.mapInPandas(_blocks(size), "width int, ids array<long>, values array<double>")
 
     q = packed(queries, block).withColumnsRenamed({"ids": "q_ids", "values": "q_values"})
-    # blocks of a stated query set against blocks of all rows: rows by the thousand, not by the pair
-    pairs = q.join(packed(vectors, 1024).withColumnRenamed("width", "w"), F.col("width") == F.col("w")).select("width", "q_ids", "q_values", "ids", "values")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = packed(vectors, 1024).withColumn("part", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(parts)).cast("int"))
+    sent = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = sent.join(rows.hint("shuffle_merge"), ["width", "part"]).select("width", "q_ids", "q_values", "ids", "values")
     scored = pairs.mapInPandas(_best(k), "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("id").alias(key), "rank")

@@ -115,12 +115,14 @@ def test_unanalysed_keeps_documents_without_triplets(spark):
     assert [r["document_id"] for r in registry.unanalysed(d, t).collect()] == ["d2"]
 
 
-def test_new_object_equal_to_the_smallest_existing_one_conflicts_with_the_others(spark):
+def test_every_pair_of_differing_objects_is_a_candidate(spark):
     s = "subject string, predicate string, object string"
     old = spark.createDataFrame([("S", "is", "A"), ("S", "is", "B"), ("S", "is", ""), ("T", "is", "A")], s)
     new = spark.createDataFrame([("S", "is", "A"), ("S", "is", "B"), ("S", "is", "C"), ("S", "is", "A"), ("T", "is", "A"), ("U", "is", "A")], s)
     got = [(r["subject"], r["claim_a"], r["claim_b"]) for r in critic.candidate_contradictions(new, old).collect()]
-    assert sorted(got) == [("S", "A", "B"), ("S", "A", "C"), ("S", "B", "A")]
+    assert sorted(got) == [("S", "A", "B"), ("S", "A", "C"), ("S", "B", "A"), ("S", "B", "C")]
+    groups = [tuple(r) for r in critic.contradiction_groups(new, old).collect()]
+    assert groups == [("S", "is", 3, 2, 4)]
 
 
 def test_critic(spark):
