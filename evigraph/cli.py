@@ -1,4 +1,4 @@
-"""Command line: convert files, index changes, search, and show the state of a folder."""
+"""Command line: convert files, write settings, build a fast index, finalise its graph, search it, and show the state of a folder."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.plans import jobs
+from evigraph.plans import index, jobs
 from evigraph.search import search
 from evigraph.sources import files
+from evigraph.sources.fs import Files
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,8 +29,17 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("question")
     q.add_argument("--method", default="local", choices=search.METHODS)
     q.add_argument("--community-level", type=int, default=2)
+    i = sub.add_parser("index", help="fast index of a table of texts (document_id, content) into a folder")
+    i.add_argument("documents")
+    i.add_argument("folder")
+    i.add_argument("--chunk-size", type=int, default=1200)
+    i.add_argument("--chunk-overlap", type=int, default=100)
+    w = sub.add_parser("status", help="state of a folder: tables, settings, documents")
+    w.add_argument("folder")
+    w.add_argument("--documents", default="")
     f = sub.add_parser("finalize", help="degrees and ids of the graph tables of a folder")
     f.add_argument("folder")
+    f.add_argument("--graphml", action="store_true", help="also write the relationships as GraphML")
     return p
 
 
@@ -44,7 +54,16 @@ def main(argv: list[str] | None = None) -> int:
         df.write.mode("overwrite").parquet(a.target)
         print(f"{seen.get['rows']} documents")
     elif a.command == "finalize":
-        print(json.dumps(jobs.finalize_job(spark, a.folder), indent=2, default=str))
+        print(json.dumps(jobs.finalize_job(spark, a.folder, snapshot=a.graphml), indent=2, default=str))
+    elif a.command == "index":
+        steps = index.build(spark, spark.read.parquet(a.documents), files.output_folder(a.folder), size=a.chunk_size, overlap=a.chunk_overlap)
+        done = index.outcome(spark.createDataFrame(steps, "step string, error string")).first()
+        print(f"{done['completed']} steps done" + (f", failed: {done['errors']}" if done["failed"] else ""))
+        return int(done["failed"] > 0)
+    elif a.command == "status":
+        fs, out = Files(spark), files.output_folder(a.folder)
+        row = (0, len([x for x in fs.names(out) if x.endswith(".parquet")]), int(bool(a.documents) and fs.exists(a.documents)), int(fs.exists(f"{a.folder}/settings.yaml")))
+        print(jobs.job_status(spark.createDataFrame([row], "processes int, outputs int, inputs int, settings int")).first()["status"])
     else:
         t = files.TableProvider(spark, files.output_folder(a.folder))
         tables = {n: t.read_or_empty(n) for n in ("entities", "triplets", "documents", "community_reports", "text_units")}

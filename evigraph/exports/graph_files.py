@@ -49,13 +49,18 @@ def write_lines(lines: DataFrame, folder: str) -> None:
     cut(lines, "lines").repartitionByRange("part", "key").sortWithinPartitions("part", "key").select("line").write.mode("overwrite").text(folder)
 
 
-def graph_payload(nodes: DataFrame, edges: DataFrame, cap: int = 10_000) -> str:
-    """JSON of nodes, edges and their counts; a graph of more than ``cap`` nodes or edges keeps counts alone (write tables then)."""
-    n, e = nodes.count(), edges.count()
-    out: dict = {"node_count": n, "edge_count": e}
-    if max(n, e) <= cap:
-        out |= {"nodes": [json.loads(r) for r in nodes.orderBy("node_id").toJSON().collect()], "edges": [json.loads(r) for r in edges.orderBy("source", "target").toJSON().collect()]}
-    return dumps(out)
+def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Lines of one JSON object: edge_count, node_count, nodes and edges, each a line of its own, for a graph of any size."""
+    def rows(df: DataFrame, part: int, key) -> DataFrame:
+        keyed = df.select(key.alias("key"), F.to_json(F.struct(*df.columns)).alias("json"))
+        first = keyed.agg(F.min("key").alias("_first"))  # one row
+        return keyed.crossJoin(F.broadcast(first)).select(F.lit(part).alias("part"), "key", F.concat(F.when(F.col("key") == F.col("_first"), " ").otherwise(","), "json").alias("line"))
+
+    n = rows(nodes, 1, F.col("node_id"))
+    e = rows(edges, 3, F.concat_ws("\u0001", "source", "target"))
+    counts = nodes.agg(F.count("*").alias("n")).crossJoin(edges.agg(F.count("*").alias("m")))  # one row each
+    head = counts.select(F.lit(0).alias("part"), F.lit("").alias("key"), F.concat(F.lit('{"edge_count": '), F.col("m").cast("string"), F.lit(', "node_count": '), F.col("n").cast("string"), F.lit(', "nodes": [')).alias("line"))
+    return _lines(head, n, _fixed(nodes, 2, '], "edges": ['), e, _fixed(nodes, 4, "]}"))
 
 
 def dumps(payload) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -11,8 +12,10 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.exports.graph_files import graphml, write_lines
 from evigraph.operators import graph, ingest, registry
 from evigraph.sources.files import TableProvider, file_hashes
+from evigraph.sources.fs import Files
 
 STATUS = ("RUNNING", "IDLE_WITH_OUTPUT", "READY_TO_INDEX", "INITIALIZED", "NOT_INITIALIZED")
 
@@ -36,11 +39,18 @@ def folder_state(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.max_by("path", F.struct("modificationTime", "path")).alias("latest"))
 
 
-def once(marker: str, step: Callable[[], None]) -> bool:
-    """Runs a step unless its marker file is there; the marker is made when the step ends. True if it ran."""
-    if os.path.exists(marker):
+def once(marker: str, step: Callable[[], None], spark: SparkSession | None = None) -> bool:
+    """Runs a step unless its marker file is there; the marker is made when the step ends. True if it ran.
+
+    With a session the marker may lie on any file system it can reach.
+    """
+    files = Files(spark) if spark else None
+    if files.exists(marker) if files else os.path.exists(marker):
         return False
     step()
+    if files:
+        files.write(marker, str(time.time()))
+        return True
     with open(marker, "w", encoding="utf-8") as f:
         f.write(str(time.time()))
     return True
@@ -71,12 +81,33 @@ class Settings:
     max_gleanings: int = 1
     community_max_length: int = 2000
     export_graphml: bool = False
+    api_key: str | None = None
+    embedding_provider: str | None = None
+    embedding_model: str | None = None
+    embedding_base: str | None = None
+    embedding_key: str | None = None
+
+    def env(self) -> str:
+        """.env: the keys that settings.yaml refers to; a provider on this machine needs none."""
+        keys = {"GRAPHRAG_API_KEY": self.api_key, "GRAPHRAG_EMBEDDING_API_KEY": self.embedding_key or self.api_key}
+        return "".join(f"{k}={v}\n" for k, v in keys.items() if v)
+
+    def model_blocks(self) -> dict[str, dict[str, str | None]]:
+        """The model that reads and the one that embeds; the second takes what it lacks from the first."""
+        local = self.provider == "ollama"
+        base = self.api_base or ("http://localhost:11434" if local else None)
+        chat = {"provider": self.provider, "model": self.model, "api_base": base, "api_key": None if local else "${GRAPHRAG_API_KEY}"}
+        other = self.embedding_provider or self.provider
+        embed = {"provider": other, "model": self.embedding_model or self.model, "api_base": self.embedding_base or (base if other == self.provider else None), "api_key": None if other == "ollama" else "${GRAPHRAG_EMBEDDING_API_KEY}"}
+        return {"completion": chat, "embedding": embed}
 
     def text(self) -> str:
         """YAML; JSON scalars and lists are YAML too."""
         d, dump = asdict(self), json.dumps
-        groups = {"models": ("provider", "model", "api_base"), "storage": ("input_dir", "output_dir"), "extraction": ("entity_types", "max_gleanings"), "community_reports": ("community_max_length",), "snapshots": ("export_graphml",)}
-        lines = ["chunks:", f"  size: {self.chunk_size}", f"  overlap: {self.chunk_overlap}"]
+        groups = {"storage": ("input_dir", "output_dir"), "extraction": ("entity_types", "max_gleanings"), "community_reports": ("community_max_length",), "snapshots": ("export_graphml",)}
+        lines = ["chunks:", f"  size: {self.chunk_size}", f"  overlap: {self.chunk_overlap}", "models:"]
+        for name, block in self.model_blocks().items():
+            lines += [f"  {name}:", *(f"    {k}: {dump(v)}" for k, v in block.items() if v is not None)]
         for name, keys in groups.items():
             lines += [f"{name}:", *(f"  {k}: {dump(d[k])}" for k in keys)]
         return "\n".join(lines) + "\n"
@@ -89,6 +120,9 @@ class Settings:
         os.makedirs(folder, exist_ok=True)
         with open(path, "w", encoding="utf-8") as f:
             f.write(self.text())
+        if self.env():
+            with open(os.path.join(folder, ".env"), "w", encoding="utf-8") as f:
+                f.write(self.env())
         return True
 
 
@@ -119,16 +153,51 @@ def index_job(spark: SparkSession, source: str, state: str, build: Callable[[int
     return error
 
 
-def finalize_job(spark: SparkSession, folder: str, preview: int = 5) -> list[dict]:
-    """Finalises the entities and relationships tables of a folder in place; a few rows of the result for a look."""
-    t = TableProvider(spark, folder)
-    r = graph.finalize_relationships(t.read("relationships").drop("combined_degree", "human_readable_id", "id"))
-    e = graph.finalize_entities(t.read("entities").drop("degree", "human_readable_id", "id"), t.read("relationships"))
-    for name, df in (("relationships", r), ("entities", e)):
-        df.write.mode("overwrite").parquet(f"{folder}/{name}.new.parquet")
-    for name in ("relationships", "entities"):
-        t.write(name, spark.read.parquet(f"{folder}/{name}.new.parquet"))
-    return [x.asDict() for x in t.read("relationships").orderBy("human_readable_id").limit(preview).collect()]
+def finalize_job(spark: SparkSession, folder: str, preview: int = 5, snapshot: bool = False) -> list[dict]:
+    """Finalises the entities and relationships tables of a folder in place; a few rows of the result for a look.
+
+    Both results are written beside the tables before either takes its place, by a move; a run that was stopped between the
+    two moves is taken up by the next. With ``snapshot`` the relationships are also written as GraphML.
+    """
+    t, files = TableProvider(spark, folder), Files(spark)
+    at = lambda name: f"{folder}/{name}.new.parquet"
+    names = ("relationships", "entities")
+    if not all(files.exists(f"{at(n)}/_SUCCESS") for n in names) and all(t.has(n) for n in names):
+        r = graph.finalize_relationships(t.read("relationships").drop("combined_degree", "human_readable_id", "id"))
+        e = graph.finalize_entities(t.read("entities").drop("degree", "human_readable_id", "id"), t.read("relationships"))
+        for name, df in zip(names, (r, e)):
+            df.write.mode("overwrite").parquet(at(name))
+    for name in names:
+        if files.exists(f"{at(name)}/_SUCCESS"):
+            files.swap(at(name), t.path(name))
+            spark.catalog.refreshByPath(t.path(name))
+    r = t.read("relationships")
+    if snapshot:
+        nodes = t.read("entities").select(F.col("title").alias("node_id"), F.col("degree"))
+        write_lines(graphml(nodes, r.select("source", "target", "combined_degree")), f"{folder}/graph.graphml")
+    return [x.asDict() for x in r.orderBy("human_readable_id").limit(preview).collect()]
+
+
+class Pacing:
+    """Time between calls: a wait drawn from ``low`` to ``high`` seconds since the last one, less what has gone by."""
+
+    def __init__(self, low: float = 2.0, high: float = 5.0, clock=time.monotonic, sleep=time.sleep, draw=random.uniform) -> None:
+        self.low, self.high, self.clock, self.sleep, self.draw, self.last = low, high, clock, sleep, draw, None
+
+    def wait(self) -> float:
+        """Waits as long as is due before the next call: the seconds waited."""
+        due = 0.0 if self.last is None else max(0.0, self.draw(self.low, self.high) - (self.clock() - self.last))
+        if due:
+            self.sleep(due)
+        self.last = self.clock()
+        return due
+
+
+def append_usage(spark: SparkSession, path: str, key_tail: str, used: float, limit: float | None, source: str, key_usage: float | None = None) -> None:
+    """Appends one row of usage to a folder of JSON lines, in the form ``sources.files.usage_history`` reads."""
+    left = None if limit is None else limit - used
+    row = spark.createDataFrame([(key_tail, float(used), limit, left, source, key_usage)], "key_tail string, credits_used double, credit_limit double, credits_remaining double, source string, key_usage double")
+    row.withColumn("timestamp", F.current_timestamp()).coalesce(1).write.mode("append").json(path)
 
 
 def observed(df: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:

@@ -15,10 +15,12 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.exports.graph_files import dumps, report_from_context
-from evigraph.operators import critic, registry, synthesis
+from evigraph.exports.graph_files import dot, dumps, graph_json, graphml, html_viewer, report_from_context, write_lines
+from evigraph.operators import critic, graph, registry, synthesis
 from evigraph.plans import routing
+from evigraph.runtime import cut
 from evigraph.schemas import conform, empty
+from evigraph.sources.fs import Files
 
 RELATIONS = ("documents", "entities", "triplets", "contradictions", "research_gaps", "route_history")
 
@@ -107,34 +109,34 @@ class RunStore:
     """Folder of a run: a manifest, and a folder of relations per iteration."""
 
     def __init__(self, spark: SparkSession, base: str, run_id: str) -> None:
-        self.spark, self.folder, self.run_id = spark, f"{base}/{run_id}", run_id
-        os.makedirs(self.folder, exist_ok=True)
+        self.spark, self.folder, self.run_id, self.files = spark, f"{base}/{run_id}", run_id, Files(spark)
+        self.files.make(self.folder)
 
     @classmethod
     def latest_resumable(cls, spark: SparkSession, base: str, query: str) -> RunStore | None:
         """The last run by name of the same query that has not been completed."""
-        for name in sorted(os.listdir(base) if os.path.isdir(base) else [], reverse=True):
+        files = Files(spark)
+        for name in reversed(files.names(base)):
             path = f"{base}/{name}/manifest.json"
-            if os.path.exists(path):
-                m = json.load(open(path, encoding="utf-8"))
+            if files.exists(path):
+                m = json.loads(files.read(path))
                 if m.get("query") == query and not m.get("completed_at"):
                     return cls(spark, base, name)
         return None
 
     def manifest(self) -> dict:
         path = f"{self.folder}/manifest.json"
-        return json.load(open(path, encoding="utf-8")) if os.path.exists(path) else {}
+        return json.loads(self.files.read(path)) if self.files.exists(path) else {}
 
     def note(self, **values) -> None:
         now = datetime.now(timezone.utc).isoformat()
         text = dumps({"run_id": self.run_id, "started_at": now} | self.manifest() | values | {"updated_at": now})
-        with open(f"{self.folder}/manifest.json", "w", encoding="utf-8") as f:
-            f.write(text)
+        self.files.write(f"{self.folder}/manifest.json", text)
 
     def save(self, state: State) -> State:
         """Writes the relations of an iteration and reads them back."""
         name = f"iter-{state.iteration:03d}"
-        while os.path.exists(f"{self.folder}/{name}"):  # a save may still be read by the state it came from
+        while self.files.exists(f"{self.folder}/{name}"):  # a save may still be read by the state it came from
             name += "r"
         out = {}
         for r, df in state.relations.items():
@@ -159,6 +161,22 @@ Acquire = Callable[[str, State], DataFrame]
 Extract = Callable[[DataFrame, int], tuple[DataFrame, DataFrame]]
 
 
+def final_artifacts(store: RunStore, state: State, report: str) -> list[str]:
+    """Writes what a finished run leaves: its state, the report if not blank, the graph as JSON, GraphML and DOT, and a page to look at."""
+    r, at = state.relations, f"{store.folder}/final"
+    n, e = graph.export_nodes(r["entities"], r["triplets"], r["contradictions"]), graph.export_edges(r["entities"], r["triplets"], r["contradictions"])
+    n, e = cut(n, "nodes"), cut(e, "edges")
+    for name, df in r.items():
+        df.write.mode("overwrite").parquet(f"{at}/state/{name}")
+    for name, lines in (("graph.json", graph_json(n, e)), ("graph.graphml", graphml(n, e)), ("graph.dot", dot(n, e))):
+        write_lines(lines, f"{at}/{name}")
+    places = graph.layout(graph.nodes(r["entities"], r["triplets"], r["contradictions"]))
+    store.files.write(f"{at}/graph.html", html_viewer(state.extra.get("asked", state.query), places, r["contradictions"], r["research_gaps"], r["documents"].where("source_type = 'local_resource'")))
+    if report.strip():
+        store.files.write(f"{store.folder}/report.md", report)
+    return ["state", "graph.json", "graph.graphml", "graph.dot", "graph.html", *(["report.md"] if report.strip() else [])]
+
+
 def step(state: State, acquire: Acquire, extract: Extract, config: Config, store: RunStore) -> State:
     """One round: documents, triplets and entities of what is new, candidate conflicts and gaps, and the route."""
     state.iteration += 1
@@ -207,8 +225,5 @@ def run(spark: SparkSession, query: str, acquire: Acquire, extract: Extract, bas
         state = step(state, acquire, extract, config, store)
     r = state.relations
     report = report_from_context(synthesis.writer_context(r["documents"], r["entities"], r["triplets"], r["contradictions"], r["research_gaps"], query))
-    if report.strip():
-        with open(f"{store.folder}/report.md", "w", encoding="utf-8") as f:
-            f.write(report)
-    store.note(completed_at=datetime.now(timezone.utc).isoformat(), final_iteration=state.iteration)
+    store.note(artifacts=final_artifacts(store, state, report), completed_at=datetime.now(timezone.utc).isoformat(), final_iteration=state.iteration)
     return state, report

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import ids, text as T
 from evigraph.operators import acquire, critic, graph, ingest, registry, synthesis, usage
-from evigraph.plans import jobs, routing
+from evigraph.plans import index, jobs, routing
 from evigraph.runtime import table
 from evigraph.search import search
 from evigraph.schemas import conform
@@ -591,6 +591,55 @@ def triplet_completeness(spark, sf_dir):
     return t.groupBy("extraction_iteration").agg(F.count("*").alias("triplets"), F.count_if(full).alias("complete"), F.count_if(F.col("source_document_id").isNull()).alias("unsourced"))
 
 
+# --- Index build and runs of it --------------------------------------------------------------------------------------------
+UNITS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 100, 1), 1100)) AS s FROM w),
+units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS chunk, array_to_string(list_slice(ws, s, s + 1199), ' ') AS text FROM c),
+m AS (SELECT doc_id, chunk, generate_subscripts(ms, 1) AS pos, unnest(ms) AS title FROM (SELECT doc_id, chunk, regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+') AS ms FROM units))"""
+
+
+@query(f"WITH {UNITS} SELECT sha1(doc_id || chr(1) || chunk) AS id, doc_id::VARCHAR AS document_id, chunk::INT AS chunk, sha1(text) AS text_hash FROM units")
+def index_text_units(spark, sf_dir):
+    return index.text_units(Tables(spark, sf_dir).documents, "doc_id", "text").select("id", "document_id", "chunk", F.sha1("text").alias("text_hash"))
+
+
+@query(f"WITH {UNITS} SELECT title, count(*) AS frequency, count(DISTINCT (doc_id, chunk)) AS units FROM m GROUP BY title")
+def index_entities(spark, sf_dir):
+    return index.index_entities(index.text_units(Tables(spark, sf_dir).documents, "doc_id", "text"))
+
+
+@query(f"WITH {UNITS}, n AS (SELECT title, lead(title) OVER (PARTITION BY doc_id, chunk ORDER BY pos) AS nx FROM m) SELECT least(title, nx) AS source, greatest(title, nx) AS target, count(*) AS weight FROM n WHERE nx <> title GROUP BY ALL")
+def index_relationships(spark, sf_dir):
+    return index.index_relationships(index.text_units(Tables(spark, sf_dir).documents, "doc_id", "text"))
+
+
+@query("""SELECT count(*) FILTER (content <> '') AS completed, count(*) FILTER (content IS NULL OR content = '') AS failed, coalesce(string_agg(document_id || ': no content', '; ' ORDER BY document_id) FILTER (content IS NULL OR content = ''), '') AS errors FROM (SELECT DISTINCT document_id, content FROM source_documents WHERE document_id IS NOT NULL)""")
+def index_outcome(spark, sf_dir):
+    d = Tables(spark, sf_dir).source_documents.where("document_id IS NOT NULL").select("document_id", "content").distinct()
+    return index.outcome(d.select(F.col("document_id").alias("step"), F.when(F.coalesce(F.col("content"), F.lit("")) == "", F.lit("no content")).alias("error")))
+
+
+@query("""SELECT document_id AS pid, '/data/' || acquisition_method AS root, nullif(split_part(query, ' ', 1), '') AS method FROM source_documents WHERE acquisition_method <> '' AND NOT contains(query, '"')""")
+def command_arguments(spark, sf_dir):
+    d = Tables(spark, sf_dir).source_documents.where("acquisition_method <> '' AND NOT contains(query, '\"')")
+    p = d.select(F.col("document_id").alias("pid"), F.concat(F.lit('python -m tool index --root "/data/'), "acquisition_method", F.lit('" --method '), "query", F.lit(" --verbose")).alias("command"))
+    return index.command_arguments(p).select("pid", "root", "method")
+
+
+@query("""SELECT source AS path, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY source""".replace("AS text FROM", "AS text FROM"))
+def grouped_parts(spark, sf_dir):
+    return index.group_parts(Tables(spark, sf_dir).documents.select(F.col("source").alias("path"), F.col("doc_id").alias("part"), "text"))
+
+
+@query("""WITH h AS (SELECT document_id, content, CASE WHEN length(content) > 3000 THEN ceil(length(content) / 3000.0)::INT ELSE 1 END AS parts FROM (SELECT DISTINCT document_id, content FROM source_documents WHERE content IS NOT NULL AND document_id IS NOT NULL)),
+p AS (SELECT *, unnest(generate_series(1, parts)) AS part FROM h)
+SELECT document_id, part::INT AS part, sha1('Source: ' || document_id || '.txt' || chr(10) || 'Path: in/' || document_id || '.txt' || chr(10) || 'Format: txt' || chr(10) || '---' || chr(10) || chr(10) || substr(content, (part - 1) * 3000 + 1, 3000)) AS text_hash FROM p""")
+def part_files(spark, sf_dir):
+    d = Tables(spark, sf_dir).source_documents.where("content IS NOT NULL AND document_id IS NOT NULL").select("document_id", "content").distinct()
+    files = index.part_files(d.select(F.concat(F.lit("in/"), "document_id", F.lit(".txt")).alias("path"), F.col("content").alias("text")), 3000)
+    return files.select(F.regexp_extract("text", "^Source: (.*)\\.txt\n", 1).alias("document_id"), F.coalesce(F.regexp_extract("name", r"_part(\d+)\.txt$", 1).try_cast("int"), F.lit(1)).alias("part"), F.sha1("text").alias("text_hash"))
+
+
 # --- Search --------------------------------------------------------------------------------------------------------------
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.query_id, v.vec_id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.e::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank FROM q JOIN embeddings v ON true)
 SELECT query_id, vec_id, rank::INT AS rank FROM s WHERE rank <= 10""")

@@ -12,56 +12,57 @@ from pyspark.sql.functions import udtf
 CALLS = 50
 
 
-def _arguments(a: ast.arguments) -> str:
-    names = [x.arg for x in a.args]
-    if a.vararg:
-        names.append("*" + a.vararg.arg)
-    names += [x.arg for x in a.kwonlyargs]
-    if a.kwarg:
-        names.append("**" + a.kwarg.arg)
-    return ", ".join(names)
+def _doc(node) -> str | None:
+    lines = (ast.get_docstring(node) or "").strip().splitlines()
+    return lines[0] if lines else None
 
 
-def _first_line(node) -> str | None:
-    doc = ast.get_docstring(node)
-    return doc.strip().split("\n")[0] if doc and doc.strip() else None
+def _signature(f) -> str:
+    """Parameters with annotations and defaults, and what is returned, as written."""
+    return f"({ast.unparse(f.args)})" + (f" -> {ast.unparse(f.returns)}" if f.returns else "")
 
 
-def _name(node: ast.expr) -> str:
-    return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else ""
+def _dotted(node: ast.expr) -> str:
+    """A name with its dots; "" for what is no plain name, as a call of a call."""
+    text = ast.unparse(node)
+    return text if all(part.isidentifier() for part in text.split(".")) else ""
+
+
+def _declared(owner: str, node) -> Iterator[tuple[str, str | None, str | None, str | None]]:
+    """Rows of one class or function, and of its decorators."""
+    is_class = isinstance(node, ast.ClassDef)
+    kind = "class" if is_class else "method" if owner else "function"
+    yield kind, owner + node.name, ", ".join(map(ast.unparse, node.bases)) if is_class else _signature(node), _doc(node)
+    if not owner:
+        yield from (("decorator", node.name, _dotted(d.func if isinstance(d, ast.Call) else d), None) for d in node.decorator_list)
 
 
 def python_items(source: str) -> Iterator[tuple[str, str | None, str | None, str | None]]:
     """kind, name, signature, doc: module docstring, imports at any depth, top-level classes (with bases) and functions, methods,
-    decorators, and the names called (sorted, CALLS at most). A syntax error gives one row with the source."""
+    decorators, and the dotted names called (sorted, CALLS at most). A syntax error gives one row with the source."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
         yield "error", "syntax error", None, source
         return
-    if ast.get_docstring(tree):
-        yield "module", None, None, ast.get_docstring(tree)
-    for n in ast.walk(tree):
-        if isinstance(n, ast.Import):
-            for x in n.names:
-                yield "import", x.name, None, None
-        elif isinstance(n, ast.ImportFrom):
-            for x in n.names:
-                yield "import", f"{n.module or ''}.{x.name}", None, None
-    function = (ast.FunctionDef, ast.AsyncFunctionDef)
-    for n in tree.body:
-        if isinstance(n, ast.ClassDef):
-            yield "class", n.name, ", ".join(filter(None, map(_name, n.bases))), _first_line(n)
-            for m in n.body:
-                if isinstance(m, function):
-                    yield "method", f"{n.name}.{m.name}", f"({_arguments(m.args)})", _first_line(m)
-        elif isinstance(n, function):
-            yield "function", n.name, f"({_arguments(n.args)})", _first_line(n)
-        if isinstance(n, (ast.ClassDef, *function)):
-            for d in n.decorator_list:
-                yield "decorator", n.name, _name(d.func if isinstance(d, ast.Call) else d), None
-    for name in sorted({_name(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)} - {""})[:CALLS]:
-        yield "call", name, None, None
+    if doc := ast.get_docstring(tree):
+        yield "module", None, None, doc
+    calls, functions = set(), (ast.FunctionDef, ast.AsyncFunctionDef)
+    for node in ast.walk(tree):
+        match node:
+            case ast.Import(names=names):
+                yield from (("import", x.name, None, None) for x in names)
+            case ast.ImportFrom(module=module, names=names):
+                yield from (("import", f"{module or ''}.{x.name}", None, None) for x in names)
+            case ast.Call(func=func):
+                calls.add(_dotted(func))
+    for node in tree.body:
+        if isinstance(node, (ast.ClassDef, *functions)):
+            yield from _declared("", node)
+        if isinstance(node, ast.ClassDef):
+            for inner in filter(lambda x: isinstance(x, functions), node.body):
+                yield from _declared(f"{node.name}.", inner)
+    yield from (("call", name, None, None) for name in sorted(calls - {""})[:CALLS])
 
 
 #: Declarations of other languages, by their keywords; and comments.

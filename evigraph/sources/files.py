@@ -6,9 +6,13 @@ Python's standard library offers. Optical recognition, legacy office formats and
 
 from __future__ import annotations
 
+import email
+import email.policy
+import html
 import io
 import json
 import os
+import posixpath
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -67,16 +71,29 @@ def _tag(e: ET.Element) -> str:
     return e.tag.rsplit("}", 1)[-1]
 
 
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """Name and file of each worksheet in the workbook's order, by the workbook's relationships; by number where it has none."""
+    sheets = [s for s in ET.fromstring(z.read("xl/workbook.xml")).iter() if _tag(s) == "sheet"]
+    have = set(z.namelist())
+    targets: dict[str, str] = {}
+    if "xl/_rels/workbook.xml.rels" in have:
+        targets = {r.attrib["Id"]: r.attrib["Target"] for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")) if "Id" in r.attrib}
+    out = []
+    for i, s in enumerate(sheets, 1):
+        ref = next((v for k, v in s.attrib.items() if k.rsplit("}", 1)[-1] == "id" and "}" in k), "")
+        target = targets.get(ref, f"worksheets/sheet{i}.xml")
+        out.append((s.attrib.get("name", ""), target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")))
+    return [(name, file) for name, file in out if file in have]
+
+
 def read_xlsx(data: bytes, max_chars: int = ingest.SHARD_CHARS) -> str | None:
     """"## Sheet: name" and tab-separated rows of each sheet that is not empty; SHEET_ROWS rows a sheet, sheets until ``max_chars``."""
     z = zipfile.ZipFile(io.BytesIO(data))
     shared: list[str] = []
     if "xl/sharedStrings.xml" in z.namelist():
         shared = ["".join(t.text or "" for t in si.iter() if _tag(t) == "t") for si in ET.fromstring(z.read("xl/sharedStrings.xml"))]
-    names = [s.attrib.get("name", "") for s in ET.fromstring(z.read("xl/workbook.xml")).iter() if _tag(s) == "sheet"]
-    files = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
     parts, total = [], 0
-    for name, file in zip(names, files):
+    for name, file in _sheets(z):
         if total >= max_chars:
             break
         lines = []
@@ -119,11 +136,110 @@ def read_notebook(data: bytes) -> str | None:
     return "\n\n".join("".join(c.get("source", [])) for c in json.loads(data).get("cells", [])) or None
 
 
-def read_html_bytes(data: bytes) -> str | None:
-    return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", data.decode("utf-8", "replace"))).strip() or None
+def _plain(html_text: str) -> str | None:
+    """Text of HTML: no scripts and styles, tags to spaces, entities read, white space collapsed."""
+    bare = re.sub(r"<[^>]+>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", html_text))
+    return re.sub(r"\s+", " ", html.unescape(bare)).strip() or None
+
+
+def _palmdoc(data: bytes) -> bytes:
+    """One record of PalmDOC compression: literals, runs of literals, back references and spaces joined to a letter."""
+    out, i = bytearray(), 0
+    while i < len(data):
+        c = data[i]
+        i += 1
+        if 1 <= c <= 8:
+            out += data[i : i + c]
+            i += c
+        elif c < 0x80:
+            out.append(c)
+        elif c >= 0xC0:
+            out += bytes((32, c ^ 0x80))
+        elif i < len(data):
+            pair = (c << 8 | data[i]) & 0x3FFF
+            i += 1
+            back, length = pair >> 3, (pair & 7) + 3
+            if not 0 < back <= len(out):
+                continue
+            for _ in range(length):
+                out.append(out[-back])
+    return bytes(out)
+
+
+def read_mobi(data: bytes) -> str | None:
+    """Text of a Palm database book, stored plainly or by PalmDOC; null for other compressions, encrypted books and other data."""
+    if len(data) < 86 or data[60:68] not in (b"BOOKMOBI", b"TEXtREAd"):
+        return None
+    records = int.from_bytes(data[76:78], "big")
+    offsets = [int.from_bytes(data[78 + 8 * i : 82 + 8 * i], "big") for i in range(records)] + [len(data)]
+    if records < 2 or sorted(offsets) != offsets:
+        return None
+    head = data[offsets[0] : offsets[1]]
+    kind, count, locked = (int.from_bytes(head[a:b], "big") for a, b in ((0, 2), (8, 10), (12, 14)))
+    if kind not in (1, 2) or locked:
+        return None
+    mobi = head[16:20] == b"MOBI" and len(head) >= 32
+    encoding = "utf-8" if mobi and int.from_bytes(head[28:32], "big") == 65001 else "cp1252"
+    flags = int.from_bytes(head[242:244], "big") if mobi and len(head) >= 244 else 0
+    parts = []
+    for i in range(1, min(count, records - 1) + 1):
+        r = data[offsets[i] : offsets[i + 1]]
+        for _ in range((flags >> 1).bit_count()):  # entries behind the text, each of which ends in its own size
+            size = shift = 0
+            for b in reversed(r[-4:]):
+                size |= (b & 0x7F) << shift
+                shift += 7
+                if b & 0x80:
+                    break
+            r = r[: len(r) - size] if 0 < size <= len(r) else r
+        if flags & 1 and r:
+            r = r[: len(r) - (r[-1] & 3) - 1]
+        parts.append(_palmdoc(r) if kind == 2 else r)
+    return _plain(b"".join(parts).decode(encoding, "replace"))
+
+
+def read_epub(data: bytes) -> str | None:
+    """Text of the pages of an e-book in the order of its spine (by name where it has none)."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    pages = sorted(n for n in z.namelist() if n.lower().endswith((".xhtml", ".html", ".htm")))
+    package = next((n for n in z.namelist() if n.lower().endswith(".opf")), None)
+    if package:
+        root = ET.fromstring(z.read(package))
+        items = {e.attrib.get("id"): posixpath.normpath(posixpath.join(posixpath.dirname(package), e.attrib.get("href", ""))) for e in root.iter() if _tag(e) == "item"}
+        pages = [items[e.attrib["idref"]] for e in root.iter() if _tag(e) == "itemref" and items.get(e.attrib.get("idref")) in set(z.namelist())] or pages
+    return "\n\n".join(t for p in pages if (t := _plain(z.read(p).decode("utf-8", "replace")))) or None
+
+
+def read_mbox(data: bytes) -> str | None:
+    """Subject, sender and text of each message of a mailbox."""
+    out = []
+    for raw in re.split(rb"(?m)^From [^\n]*\n", data):
+        if not raw.strip():
+            continue
+        m = email.message_from_bytes(raw, policy=email.policy.default)
+        body = m.get_body(("plain", "html"))
+        text = body.get_content() if body else ""
+        out.append("\n".join(x for x in (m["subject"] and f"Subject: {m['subject']}", m["from"] and f"From: {m['from']}", (_plain(text) if body and body.get_content_subtype() == "html" else text.strip())) if x))
+    return "\n\n".join(filter(None, out)) or None
+
+
+def read_open_document(data: bytes) -> str | None:
+    """Paragraphs of a text document, or "## Sheet: name" and tab-separated rows of a spreadsheet."""
+    root = ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("content.xml"))
+    tables = [t for t in root.iter() if _tag(t) == "table" and any(_tag(x) == "spreadsheet" for x in root.iter())]
+    if not tables:
+        return "\n".join("".join(p.itertext()) for p in root.iter() if _tag(p) in ("p", "h")) or None
+    parts = []
+    for t in tables:
+        rows = ["\t".join("".join(c.itertext()) for c in r if _tag(c) == "table-cell").rstrip("\t") for r in t.iter() if _tag(r) == "table-row"]
+        lines = [r for r in rows if r][:SHEET_ROWS]
+        if lines:
+            name = next((v for k, v in t.attrib.items() if k.rsplit("}", 1)[-1] == "name"), "")
+            parts.append(f"## Sheet: {name}\n" + "\n".join(lines))
+    return "\n\n".join(parts) or None
 
 
-READERS: dict[str, Callable[[bytes], str | None]] = {".xlsx": read_xlsx, ".xlsm": read_xlsx, ".ppsx": read_slides, ".pptm": read_slides, ".pptx": read_slides, ".docx": read_docx, ".ipynb": read_notebook, ".mobi": read_html_bytes}
+READERS: dict[str, Callable[[bytes], str | None]] = {".xlsx": read_xlsx, ".xlsm": read_xlsx, ".ppsx": read_slides, ".pptm": read_slides, ".pptx": read_slides, ".docx": read_docx, ".ipynb": read_notebook, ".mobi": read_mobi, ".epub": read_epub, ".mbox": read_mbox, ".odt": read_open_document, ".ods": read_open_document}
 
 
 def expand_zip(data: bytes, limit: int = ingest.ARCHIVE_BYTES, depth: int = 3) -> Iterator[tuple[str, bytes]]:

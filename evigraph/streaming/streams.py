@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.operators import registry
+from evigraph.sources.fs import Files
 
 
 def watch_resources(spark: SparkSession, folder: str, cap: int = 80_000) -> DataFrame:
@@ -35,15 +36,18 @@ def once_per_id(stream: DataFrame, key: str, event_time: str | None = None, dela
 
 
 def upsert_stream(mentions: DataFrame, folder: str, checkpoint: str, order: list[str]):
-    """Keeps the entity registry of a stream of mentions: each batch is merged with the registry so far and written as a new version."""
+    """Keeps the entity registry of a stream of mentions: each batch is merged with the entities of the last finished version that
+    it names, and written with the others as a new version; batch ids may leave gaps."""
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        old = f"{folder}/version={n - 1}"
+        before = [v for v in (int(x.removeprefix("version=")) for x in Files(spark).names(folder) if x.startswith("version=")) if v < n and Files(spark).exists(f"{folder}/version={v}/_SUCCESS")]
         new = registry.upsert_entities(batch, order)
-        if n > 0:
-            have = spark.read.parquet(old)
+        if before:
+            all_ = spark.read.parquet(f"{folder}/version={max(before)}")
+            have = all_.join(new.select("canonical_name"), "canonical_name", "left_semi")  # the rest stays as it is
             as_mention = lambda e, rank: e.select(F.col("canonical_name").alias("name"), "type", "aliases", "description", F.explode_outer("source_document_ids").alias("document_id"), F.lit(rank).alias("_o"))
             new = registry.upsert_entities(as_mention(have, 0).unionByName(as_mention(new, 1)).withColumn("_p", F.coalesce("document_id", F.lit(""))), ["_o", "_p"])
+            new = new.unionByName(all_.join(new.select("canonical_name"), "canonical_name", "left_anti"))
         new.write.mode("overwrite").parquet(f"{folder}/version={n}")
 
     return mentions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

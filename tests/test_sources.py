@@ -105,7 +105,7 @@ def test_code_items(spark):
     src = '"""Doc."""\nimport os\nfrom a import b\n@deco\nclass C(Base):\n    "Cls."\n    def m(self, x, *a, k=1): return os.path(x)\ndef greet(name: str) -> str:\n    return fmt(name)\n'
     f = spark.createDataFrame([("a.py", src), ("bad.py", "def ("), ("x.go", "// note\nfunc Main() {\n}\n"), ("n.py", None)], "path string, text string")
     rows = {(r["path"], r["kind"], r["name"]): r for r in code.code_items(spark, f).collect()}
-    assert rows["a.py", "method", "C.m"]["signature"] == "(self, x, *a, k)" and rows["a.py", "class", "C"]["signature"] == "Base" and rows["a.py", "function", "greet"]["signature"] == "(name)"
+    assert rows["a.py", "method", "C.m"]["signature"] == "(self, x, *a, k=1)" and rows["a.py", "class", "C"]["signature"] == "Base" and rows["a.py", "function", "greet"]["signature"] == "(name: str) -> str"
     assert ("a.py", "import", "a.b") in rows and ("a.py", "call", "fmt") in rows and rows["a.py", "decorator", "C"]["signature"] == "deco"
     assert rows["bad.py", "error", "syntax error"]["doc"] == "def (" and ("x.go", "func", "Main") in rows
 
@@ -151,7 +151,7 @@ def test_exports(spark, tmp_path):
     graph_files.write_lines(graph_files.dot(n, ed), str(tmp_path / "dot"))
     parts = sorted((tmp_path / "dot").glob("part-*"))
     assert "".join(p.read_text() for p in parts).splitlines() == dot
-    assert json.loads(graph_files.graph_payload(n, ed))["edge_count"] == 1
+    assert json.loads("".join(r["line"] for r in graph_files.graph_json(n, ed).orderBy("part", "key").collect()))["edge_count"] == 1
     page = graph_files.html_viewer("T<", graph.layout(graph.nodes(e, t, c)), c, empty(spark, "research_gaps"), empty(spark, "documents"))
     assert "T&lt;" in page and "<b>" not in page and "None" in page
 
