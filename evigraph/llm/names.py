@@ -4,9 +4,11 @@ Distinct strings are read into folded words, initials, and the words of organisa
 Misspelt words are found by an exact radius join under the Levenshtein metric: words are assigned to the nearest of a set
 of pivots, and by the triangle inequality a word y can have a partner within radius r in the cell of pivot p only if
 d(y, p) <= d(y, own pivot) + 2 r and d(y, p) <= (radius of the cell) + r; it is replicated to these cells alone. Inside a
-cell lengths, rings around the pivot and letter sets, all bounds of the same metric, leave few pairs for the metric itself.
-Cells are cut into blocks, so that none grows with the number of words. A rare word takes the spelling of its most frequent
-neighbour.
+cell the join is exact and doesn't compare all pairs: a word within distance r of another holds one of r + 1 segments of it
+unchanged and at most r places off, so words are looked up by segments and the metric itself decides on what is found. The
+radius depends on length: 2 from LONG_WORD letters on, 1 below (and two letters exchanged), 0 below MIN_WORD. Cells are cut
+into blocks, so that none grows with the number of words. A rare word takes the spelling of its most frequent neighbour, and
+that of this word's, to the end of the chain.
 
 With corrected words the rarest word of a name is its stem (surname, or the firm's own name). Strings with one stem are one
 entity if given names (or nicknames of one name) or lines of business agree and middle initials or legal forms don't differ;
@@ -31,9 +33,9 @@ from pyspark.sql import functions as F
 from evigraph.runtime import cut
 
 RADIUS = 2
-#: Pivots are one in PER_PIVOT words, MIN_PIVOTS to MAX_PIVOTS; replicas of a cell are cut into blocks of about BLOCK,
-#: the words at home in it into shares of about HOMES.
-PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS, BLOCK, HOMES = 100, 8, 64, 20_000, 2_000
+#: Pivots are one in PER_PIVOT words, MIN_PIVOTS to MAX_PIVOTS: edit distances of words lie close together, so a word is near most
+#: pivots, and more of them mean more replicas, not smaller cells. Replicas of a cell are cut into blocks of about BLOCK.
+PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS, BLOCK = 100, 8, 64, 200_000
 #: Words shorter than this are compared at radius 1 (or two letters exchanged), and not at all below MIN_WORD.
 LONG_WORD, MIN_WORD = 6, 4
 
@@ -109,6 +111,8 @@ def read_name(name: str) -> tuple[str, list[str], list[str], list[str], list[str
         else:
             words.append(NICKNAMES.get(w, w))
         last += 1
+    if not words and business:  # a name of general words alone, as "Department of Energy", is known by these
+        words = sorted(set(business))
     if any(w in OTHER for w in words) or any(w.isdigit() for w in words) or re.match(r"port\s+\S+\s*$", s.strip()):
         return "other", words, initials, business, legal
     if business or legal:
@@ -154,48 +158,90 @@ def distances(word: str, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return rows[np.arange(len(others)), lengths]
 
 
-def _letters(words: list[str]) -> np.ndarray:
-    out = np.zeros(len(words), np.uint64)
-    for i, w in enumerate(words):
-        bits = 0
-        for c in w:
-            bits |= 1 << (ord(c) % 63)
-        out[i] = bits
-    return out
+def within(a: str, b: str, radius: int) -> int | None:
+    """Levenshtein distance of two words if it is at most ``radius``; only the diagonal band that can hold it is computed."""
+    la, lb = len(a), len(b)
+    if abs(la - lb) > radius:
+        return None
+    far = radius + 1
+    row = [j if j <= radius else far for j in range(lb + 1)]
+    for i in range(1, la + 1):
+        low, high = max(1, i - radius), min(lb, i + radius)
+        new = [far] * (lb + 1)
+        new[0] = i if i <= radius else far
+        best = new[0]
+        for j in range(low, high + 1):
+            d = min(row[j - 1] + (a[i - 1] != b[j - 1]), row[j] + 1, new[j - 1] + 1)
+            new[j] = d if d < far else far
+            best = min(best, new[j])
+        if best > radius:
+            return None
+        row = new
+    return row[lb] if row[lb] <= radius else None
+
+
+class Segments:
+    """Words by length and segment: ``near`` gives a superset of the words within a radius."""
+
+    def __init__(self, words: list[str], radius: int) -> None:
+        self.parts, self.radius = radius + 1, radius
+        self.index: dict[int, list[dict[str, list[int]]]] = {}
+        for at, w in enumerate(words):
+            tables = self.index.setdefault(len(w), [{} for _ in range(self.parts)])
+            for table, (start, end) in zip(tables, self.cuts(len(w))):
+                table.setdefault(w[start:end], []).append(at)
+
+    def cuts(self, n: int) -> list[tuple[int, int]]:
+        """Places of the segments of a word of n letters; the longer ones come last."""
+        size, extra = divmod(n, self.parts)
+        ends = [size * (i + 1) + max(0, i + 1 - (self.parts - extra)) for i in range(self.parts)]
+        return list(zip([0, *ends], ends))
+
+    def near(self, w: str, lengths: range) -> set[int]:
+        found: set[int] = set()
+        for n in lengths:
+            for table, (start, end) in zip(self.index.get(n, ()), self.cuts(n)):
+                for at in range(max(0, start - self.radius), min(len(w) - (end - start), start + self.radius) + 1):
+                    if hit := table.get(w[at : at + end - start]):
+                        found.update(hit)
+        return found
 
 
 def _cells(pivots: list[str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix, lengths = _matrix(pivots)
         for f in frames:
-            rows = []
-            for w, n in zip(f["word"], f["n"]):
-                d = distances(w, matrix, lengths)
-                own = int(d.argmin())
-                for cell in np.flatnonzero(d <= d[own] + 2 * RADIUS):
-                    rows.append((int(cell), w, n, int(d[cell]), bool(cell == own)))
-            yield pd.DataFrame(rows, columns=["cell", "word", "n", "d", "home"])
+            if not len(f):
+                continue
+            matrix, lengths = _matrix(f["word"].tolist())
+            d = np.stack([distances(p, matrix, lengths) for p in pivots], axis=1)
+            own = d.argmin(axis=1)
+            rows, cells = np.nonzero(d <= d[np.arange(len(d)), own][:, None] + 2 * RADIUS)
+            yield pd.DataFrame({"cell": cells, "word": f["word"].to_numpy()[rows], "n": f["n"].to_numpy()[rows], "d": d[rows, cells], "home": cells == own[rows]})
 
     return run
 
 
 def _join_cell(f: pd.DataFrame) -> pd.DataFrame:
-    home, near = f[f["home"]], f[f["part"] >= 0]
+    home, near = f[f["home"]], f[~f["home"]]
     out = []
-    if len(home) and len(near):
-        words = near["word"].tolist()
-        matrix, lengths = _matrix(words)
-        letters, rings, counts = _letters(words), near["d"].to_numpy(), near["n"].to_numpy()
-        own = _letters(home["word"].tolist())
-        for w, n, d, bits in zip(home["word"], home["n"], home["d"], own):
-            close = (np.abs(lengths - len(w)) <= RADIUS) & (np.abs(rings - d) <= RADIUS) & (np.bitwise_count(letters ^ bits) <= 2 * RADIUS)
-            at = np.flatnonzero(close)
-            if not len(at):
-                continue
-            dist = distances(w, matrix[at], lengths[at])
-            for i, x in zip(at, dist):
-                if 0 < x <= (RADIUS if min(len(w), lengths[i]) >= LONG_WORD or sorted(w) == sorted(words[i]) else 1):
-                    out.append((w, int(n), words[i], int(counts[i]), int(x)))
+    words, counts = near["word"].tolist(), near["n"].tolist()
+    wide = Segments([w if len(w) >= LONG_WORD else "" for w in words], RADIUS)
+    tight = Segments(words, 1)
+    turned: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        turned.setdefault("".join(sorted(w)), []).append(i)
+    for w, n in zip(home["word"], home["n"]):
+        size, letters = len(w), "".join(sorted(w))
+        found = wide.near(w, range(max(LONG_WORD, size - RADIUS), size + RADIUS + 1)) if size >= LONG_WORD else set()
+        if size <= LONG_WORD:
+            found |= tight.near(w, range(size - 1, min(size + 1, LONG_WORD if size < LONG_WORD else LONG_WORD - 1) + 1))
+        found.update(turned.get(letters, ()))
+        for i in found:
+            other = words[i]
+            radius = RADIUS if min(size, len(other)) >= LONG_WORD or letters == "".join(sorted(other)) else 1
+            x = within(w, other, radius)
+            if x:
+                out.append((w, int(n), other, int(counts[i]), x))
     return pd.DataFrame(out, columns=["word", "n", "other", "m", "distance"])
 
 
@@ -207,17 +253,15 @@ def close_words(words: DataFrame) -> DataFrame:
     pivots = [r["word"] for r in asked.orderBy(F.xxhash64("word"), "word").limit(max(MIN_PIVOTS, min(MAX_PIVOTS, size // PER_PIVOT))).select("word").collect()]
     if not pivots:
         return spark.createDataFrame([], "word string, n long, other string, m long, distance int")
-    tasks = max(1, min(512, size // 500))
+    tasks = max(1, min(512, size // 2000))
     placed = cut(asked.repartition(tasks).mapInPandas(_cells(pivots), "cell int, word string, n long, d int, home boolean"), "cells")
     radius = placed.where("home").groupBy("cell").agg(F.max("d").alias("r"))
-    blocks, homes = max(1, -(-size // BLOCK)), max(1, -(-size // (len(pivots) * HOMES)))
-    near = placed.join(F.broadcast(radius), "cell").where(F.col("d") <= F.col("r") + RADIUS).select(
-        "cell", "word", "n", "d", F.lit(False).alias("home"), F.lit(0).alias("part"), F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(homes - 1))).alias("share"),
-    )  # at most MAX_PIVOTS rows are broadcast
-    home = placed.where("home").select("cell", "word", "n", "d", "home", F.lit(-1).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("word"), F.lit(homes)).cast("int").alias("share"))
-    both = home.unionByName(near)
-    return both.groupBy("cell", "block", "share").applyInPandas(_join_cell, "word string, n long, other string, m long, distance int")
+    blocks = max(1, -(-size // BLOCK))
+    near = placed.join(F.broadcast(radius), "cell").where(F.col("d") <= F.col("r") + RADIUS).select(  # at most MAX_PIVOTS rows are broadcast
+        "cell", "word", "n", F.lit(False).alias("home"), F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("block")
+    )
+    home = placed.where("home").select("cell", "word", "n", "home", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return home.unionByName(near).groupBy("cell", "block").applyInPandas(_join_cell, "word string, n long, other string, m long, distance int")
 
 
 def spellings(words: DataFrame) -> DataFrame:
@@ -229,15 +273,24 @@ def spellings(words: DataFrame) -> DataFrame:
     return pairs.where(better & rare).groupBy("word").agg(best.alias("spelling"))
 
 
+def _to_the_end(fixed: DataFrame) -> DataFrame:
+    """Follows chains of spellings to their ends, doubling the steps each round. Each step leads to a more frequent word (or one
+    as frequent and smaller), so there are no circles."""
+    while True:
+        two = fixed.alias("a").join(fixed.alias("b"), F.col("a.spelling") == F.col("b.word"), "left")
+        more = cut(two.select(F.col("a.word").alias("word"), F.coalesce("b.spelling", "a.spelling").alias("spelling"), F.col("b.word").isNotNull().alias("moved")), "spellings")
+        fixed = more.select("word", "spelling")
+        if not more.where("moved").limit(1).count():
+            return fixed
+
+
 def name_entities(entities: DataFrame, triplets: DataFrame) -> DataFrame:
     """name, entity: each string of a person or organisation with the id of its entity (the entity's key as text)."""
     names = cut(all_names(entities, triplets).mapInPandas(_read, "name string, kind string, words array<string>, initials array<string>, business array<string>, legal array<string>"), "names")
     each = names.where("kind <> 'other'").select("name", "kind", F.explode(F.array_distinct("words")).alias("word"))
     words = cut(each.groupBy("word").agg(F.count("*").alias("n")), "words")
-    fixed = cut(spellings(words), "spellings")
-    # a spelling may itself be corrected once more: follow one step
-    twice = fixed.alias("a").join(fixed.alias("b"), F.col("a.spelling") == F.col("b.word"), "left").select(F.col("a.word").alias("word"), F.coalesce("b.spelling", "a.spelling").alias("spelling"))
-    read = cut(each.join(twice, "word", "left").select("name", F.coalesce("spelling", "word").alias("word")), "read")
+    fixed = _to_the_end(cut(spellings(words), "spellings"))
+    read = cut(each.join(fixed, "word", "left").select("name", F.coalesce("spelling", "word").alias("word")), "read")
     known = read.groupBy("word").agg(F.count("*").alias("n"))
     read = read.join(known, "word")
     stems = read.groupBy("name").agg(F.min_by("word", F.struct("n", -F.length("word"), "word")).alias("stem"), F.array_sort(F.collect_set("word")).alias("all"))

@@ -1,6 +1,9 @@
 import random
 
 import numpy as np
+import pandas as pd
+
+import pandas as pd
 
 from evigraph.llm import names, subjects
 
@@ -107,3 +110,26 @@ def test_calibration_orders_posteriors():
     share, hits = rng.random(500), rng.integers(1, 9, 500).astype(float)
     w = subjects.calibrate(share, hits, (rng.random(500) < share).astype(float))
     assert w[1] > 0 and subjects.calibrate(share, hits, np.ones(500)).shape == (3,)
+
+
+def test_segments_lose_no_pair_within_the_radius():
+    import random
+
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcde") for _ in range(rng.randint(4, 11))) for _ in range(250)]
+    words = sorted({*base, *(w[:i] + rng.choice("abcde") + w[i + rng.randint(0, 1) :] for w in base for i in (1, 3)), *(w[1] + w[0] + w[2:] for w in base)})
+    words = [w for w in words if len(w) >= names.MIN_WORD]
+    f = pd.DataFrame([(w, 1, home) for w in words for home in (True, False)], columns=["word", "n", "home"])
+    got = {(r.word, r.other): r.distance for r in names._join_cell(f).itertuples()}
+    matrix, lengths = names._matrix(words)
+    want = {}
+    for w in words:
+        for o, d in zip(words, names.distances(w, matrix, lengths)):
+            if 0 < d <= (2 if min(len(w), len(o)) >= names.LONG_WORD or sorted(w) == sorted(o) else 1):
+                want[w, o] = int(d)
+    assert got == want and len(want) > 500
+
+
+def test_chains_of_spellings_end_at_one_word(spark):
+    chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "y")], "word string, spelling string")
+    assert {tuple(r) for r in names._to_the_end(chain).collect()} == {("a", "e"), ("b", "e"), ("c", "e"), ("d", "e"), ("x", "y")}
