@@ -183,13 +183,22 @@ def within(a: str, b: str, radius: int) -> int | None:
 class Segments:
     """Words by length and segment: ``near`` gives a superset of the words within a radius."""
 
-    def __init__(self, words: list[str], radius: int) -> None:
+    def __init__(self, words: list[str], radius: int, which: list[int]) -> None:
         self.parts, self.radius = radius + 1, radius
         self.index: dict[int, list[dict[str, list[int]]]] = {}
-        for at, w in enumerate(words):
-            tables = self.index.setdefault(len(w), [{} for _ in range(self.parts)])
-            for table, (start, end) in zip(tables, self.cuts(len(w))):
-                table.setdefault(w[start:end], []).append(at)
+        places: dict[int, list] = {}
+        for at in which:
+            w = words[at]
+            n = len(w)
+            if n not in places:
+                self.index[n] = [{} for _ in range(self.parts)]
+                places[n] = list(zip(self.index[n], self.cuts(n)))
+            for table, (start, end) in places[n]:
+                s = w[start:end]
+                if s in table:
+                    table[s].append(at)
+                else:
+                    table[s] = [at]
 
     def cuts(self, n: int) -> list[tuple[int, int]]:
         """Places of the segments of a word of n letters; the longer ones come last."""
@@ -225,11 +234,12 @@ def _join_cell(f: pd.DataFrame) -> pd.DataFrame:
     home, near = f[f["home"]], f[~f["home"]]
     out = []
     words, counts = near["word"].tolist(), near["n"].tolist()
-    wide = Segments([w if len(w) >= LONG_WORD else "" for w in words], RADIUS)
-    tight = Segments(words, 1)
+    sizes = near["word"].str.len().to_numpy()
+    wide = Segments(words, RADIUS, np.flatnonzero(sizes >= LONG_WORD).tolist())
+    tight = Segments(words, 1, np.flatnonzero(sizes <= LONG_WORD).tolist())
     turned: dict[str, list[int]] = {}
-    for i, w in enumerate(words):
-        turned.setdefault("".join(sorted(w)), []).append(i)
+    for i in np.flatnonzero(sizes < LONG_WORD).tolist():
+        turned.setdefault("".join(sorted(words[i])), []).append(i)
     for w, n in zip(home["word"], home["n"]):
         size, letters = len(w), "".join(sorted(w))
         found = wide.near(w, range(max(LONG_WORD, size - RADIUS), size + RADIUS + 1)) if size >= LONG_WORD else set()
