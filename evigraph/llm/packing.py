@@ -139,3 +139,14 @@ def fill_by_specs(docs: DataFrame, specs: DataFrame, size_of, key: str = "doc_id
         kind = docs.schema[key].dataType.simpleString()
         return docs.sparkSession.createDataFrame([], f"spec_id int, {key} {kind}, piece_no int, piece_tokens int, container_id long")
     return out
+
+
+def checked(placed: DataFrame, specs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What placements (of fill_by_specs) say of themselves, per row of ``specs``: spec_id, capacity_tokens, documents, over_capacity
+    (containers), split_though_fitting (documents), well_filled (95 % of the room of all containers is used)."""
+    each = placed.groupBy("spec_id", key).agg(F.count("*").alias("pieces"), F.sum("piece_tokens").alias("tokens"))
+    kinds = F.broadcast(specs.select("spec_id", "capacity_tokens"))  # a table of settings
+    items = each.join(kinds, "spec_id").groupBy("spec_id").agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("split_though_fitting"))
+    full = placed.where("container_id IS NOT NULL").groupBy("spec_id", "container_id").agg(F.sum("piece_tokens").alias("tokens")).join(kinds, "spec_id")
+    room = full.groupBy("spec_id").agg(F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("over_capacity"), (F.sum("tokens") >= 0.95 * F.sum("capacity_tokens")).alias("well_filled"))
+    return specs.select("spec_id", "capacity_tokens").join(items, "spec_id").join(room, "spec_id").select("spec_id", "capacity_tokens", "documents", "over_capacity", "split_though_fitting", "well_filled")

@@ -132,37 +132,73 @@ def split_text(text: str, chunk_size: int, overlap: int, unit: str) -> list[tupl
     return pieces
 
 
+NAMES = ["settings_id", "document_id", "chash", "piece_no", "start_char", "end_char", "piece_size", "piece"]
+KINDS = [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+
+
 def _split(settings: list[tuple[int, int, int, str]], with_text: bool):
+    """Pieces of each text. With texts, batches come in order of document_id and hash: of an id's contents the first that has to be
+    split for a settings row is, the others are not."""
+    width = len(NAMES) - (not with_text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["settings_id", "document_id", "chash", "piece_no", "start_char", "end_char", "piece_size", *(["piece"] if with_text else [])]
-        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()][: len(names)]
+        now, taken = None, {}
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                rows: list[list] = [[] for _ in names]
+                rows: list[list] = [[] for _ in range(width)]
                 part = batch.slice(at, 200)
                 for key, text, chash in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    if key != now:
+                        now, taken = key, {}
                     for settings_id, size, overlap, unit in settings:
+                        if with_text and settings_id in taken:
+                            continue
                         for k, (start, end) in enumerate(split_text(text, size, overlap, unit), 1):
+                            taken[settings_id] = chash
                             piece = text[start:end]
-                            values = (settings_id, key, chash, k, start, end, measure(piece, unit), *([piece] if with_text else []))
-                            for column, value in zip(rows, values):
+                            for column, value in zip(rows, (settings_id, key, chash, k, start, end, measure(piece, unit), piece)):
                                 column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, KINDS)], names=NAMES[:width])
 
     return run
 
 
+def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops rows of an id and content that the task has passed on already, so that a row repeated very often is sent once a task."""
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        keep = []
+        for pair in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            keep.append(pair not in seen)
+            seen.add(pair)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def split_documents(docs: DataFrame, settings: DataFrame, with_text: bool = True) -> DataFrame:
     """settings_id, document_id, piece_no (from 1), start_char, end_char, piece_size and, if asked, piece.
 
-    ``settings`` is the table of settings profiles: settings_id, chunk_size, chunk_overlap, chunk_unit.
+    ``settings`` is the table of settings profiles: settings_id, chunk_size, chunk_overlap, chunk_unit. Repeated rows count once;
+    where contents of an id differ, that of the smallest hash is split, of those that have to be. With pieces, contents are
+    brought together by id before they are split, and nothing is shuffled after; without, the few numbers of each piece are.
     """
     rows = settings.where("settings_id IS NOT NULL AND chunk_size > 0").select("settings_id", "chunk_size", F.coalesce("chunk_overlap", F.lit(0)).alias("o"), "chunk_unit").collect()
     used = sorted((r[0], r[1], r[2], r[3]) for r in rows if r[3] in UNITS)
     least = min((r[1] for r in used), default=0)  # a text has no more words or code points than bytes
     base = docs.where("document_id IS NOT NULL AND content IS NOT NULL").where(F.octet_length("content") > least).select("document_id", "content", F.xxhash64("content").alias("chash"))
     kinds = "settings_id int, document_id string, chash long, piece_no int, start_char int, end_char int, piece_size int" + ", piece string" * with_text
+    if with_text:
+        once = base.mapInArrow(_without_repeats, base.schema).repartition("document_id").sortWithinPartitions("document_id", "chash")
+        return once.mapInArrow(_split(used, True), kinds).drop("chash")
     made = base.mapInArrow(_split(used, with_text), kinds).dropDuplicates(["settings_id", "document_id", "piece_no", "chash"])
     # the smallest hash among contents that had to be split
     first = F.min("chash").over(Window.partitionBy("settings_id", "document_id"))
     return made.withColumn("first", first).where("chash = first").drop("chash", "first")
+
+
+def restored(pieces: DataFrame, settings: DataFrame) -> DataFrame:
+    """settings_id, document_id, text_hash (SHA-1 of the text that the pieces make without their overlaps), over_limit (pieces larger than chunk_size)."""
+    before = F.lag("end_char", 1, 0).over(Window.partitionBy("settings_id", "document_id").orderBy("piece_no"))
+    new = pieces.withColumn("at", before).withColumn("new", F.expr("substring(piece, at - start_char + 1)"))
+    sized = new.join(F.broadcast(settings.select("settings_id", "chunk_size")), "settings_id")  # a table of settings
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "new"))), lambda x: x["new"]), "")
+    return sized.groupBy("settings_id", "document_id").agg(F.sha1(text).alias("text_hash"), F.count_if(F.col("piece_size") > F.col("chunk_size")).alias("over_limit"))
