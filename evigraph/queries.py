@@ -529,10 +529,15 @@ def enum_normalised(spark, sf_dir):
     return conform(Tables(spark, sf_dir).contradiction_records, "contradictions").groupBy("severity", "status").agg(F.count("*").alias("rows"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, text, regexp_extract(text, '(?s)(\{.*\})', 1) AS span FROM documents WHERE doc_kind = 'payload'),
+j AS (SELECT doc_id, CASE WHEN json_valid(text) AND starts_with(trim(text, ' '), '{') THEN text::JSON WHEN json_valid(span) AND span <> '' THEN span::JSON END AS j FROM d),
+p AS (SELECT doc_id, j, coalesce(json_extract(j, '$.entities[*]'), []) AS e, coalesce(json_extract(j, '$.triplets[*]'), []) AS t FROM j),
+v AS (SELECT *, j IS NOT NULL AND len(list_filter(e, lambda x: json_extract_string(x, '$.canonical_name') IS NULL)) = 0
+  AND len(list_filter(t, lambda x: json_extract_string(x, '$.subject') IS NULL OR json_extract_string(x, '$.predicate') IS NULL OR json_extract_string(x, '$.object') IS NULL OR json_extract_string(x, '$.evidence') IS NULL)) = 0 AS ok FROM p)
+SELECT doc_id, ok AS valid, CASE WHEN ok THEN len(e) ELSE NULL END::INT AS entities, CASE WHEN ok THEN len(t) ELSE NULL END::INT AS triplets FROM v""")
 def payload_parse(spark, sf_dir):
     d = Tables(spark, sf_dir).documents.where("doc_kind = 'payload'")
-    return parsing.parse_extraction(d, "doc_id", "text").select("doc_id", "valid", F.size("entities").alias("entities"), F.size("triplets").alias("triplets"))
+    return parsing.parse_extraction(d, "doc_id", "text").select("doc_id", "valid", F.when(F.col("valid"), F.size("entities")).alias("entities"), F.when(F.col("valid"), F.size("triplets")).alias("triplets"))
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
@@ -648,17 +653,35 @@ def vector_top_k(spark, sf_dir):
     return search.vector_top_k(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 10)
 
 
-@query()
+def _score_sql(column: str, question: str) -> str:
+    """Share of the question's words (over two letters) among the distinct words of a text."""
+    terms = search.terms(question)
+    return rf"round(len(list_intersect(list_distinct(regexp_split_to_array(lower({column}), '[^\p{{L}}\p{{N}}]+')), {terms!r})) / {len(terms)}.0, 6)"
+
+
+ASKED = "interest rate in Valagrad"
+
+
+@query(f"""WITH u AS (SELECT document_id AS id, max({_score_sql("content", ASKED)}) AS score FROM source_documents WHERE content <> '' GROUP BY document_id)
+SELECT id, score FROM u WHERE score > 0 ORDER BY score DESC, id LIMIT 10""")
 def basic_search(spark, sf_dir):
     t = Tables(spark, sf_dir)
     units = t.source_documents.where("content <> ''").select(F.col("document_id").alias("id"), F.col("content").alias("text")).dropDuplicates(["id"])
-    return search.basic(units, "interest rate in Valagrad")
+    return search.basic(units, ASKED)
 
 
-@query()
+NEAR = "Kelisibamet Motors Partners and its suppliers"
+
+
+@query(f"""WITH e AS (SELECT canonical_name AS entity, max({_score_sql("concat_ws(' ', canonical_name, array_to_string(coalesce(aliases, []), ' '), description)", NEAR)}) AS score FROM entity_records WHERE canonical_name IS NOT NULL GROUP BY 1),
+near AS (SELECT * FROM e WHERE score > 0 ORDER BY score DESC, entity LIMIT 8),
+ends AS (SELECT triplet_id, subject, predicate, object, source_document_id, coalesce(confidence, 0.0) AS confidence, unnest(list_distinct([subject, object])) AS entity FROM triplet_records),
+best AS (SELECT DISTINCT ON (triplet_id) * FROM ends JOIN near USING (entity) ORDER BY triplet_id, score DESC, confidence DESC, entity DESC, subject DESC, object DESC),
+top AS (SELECT * FROM best ORDER BY score DESC, confidence DESC, triplet_id LIMIT 20), d AS (SELECT document_id, min(title) AS title FROM source_documents GROUP BY 1)
+SELECT entity, triplet_id, concat_ws(' ', subject, predicate, object) AS statement, source_document_id AS document_id, title, score FROM top LEFT JOIN d ON d.document_id = top.source_document_id""")
 def local_search(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return search.local(t.entity_records, t.triplet_records, t.source_documents, "Kelisibamet Motors Partners and its suppliers")
+    return search.local(t.entity_records, t.triplet_records, t.source_documents, NEAR)
 
 
 @query()

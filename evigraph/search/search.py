@@ -18,17 +18,17 @@ from evigraph.operators import graph
 WORD = r"[^\p{L}\p{N}]+"
 
 
-def _terms(question: str) -> list[str]:
+def terms(question: str) -> list[str]:
     return sorted({w for w in re.split(r"[\W_]+", question.lower()) if len(w) > 2})
 
 
 def lexical_score(text, question: str):
     """Share of the question's words that occur in a text, as a column."""
-    terms = _terms(question)
-    if not terms:
+    asked = terms(question)
+    if not asked:
         return F.lit(0.0)
     words = F.array_distinct(F.split(F.lower(text), WORD))
-    return F.size(F.array_intersect(words, F.array(*map(F.lit, terms)))) / len(terms)
+    return F.size(F.array_intersect(words, F.array(*map(F.lit, asked)))) / len(asked)
 
 
 def _blocks(size: int):
