@@ -41,16 +41,27 @@ def disputed_entities(entities: DataFrame, contradictions: DataFrame) -> DataFra
     A substring join without a nested loop: names and texts meet on a character run of 8 (3, 1 for short names). Of its runs a
     name takes the one that is in the fewest texts, and a name with a run that is in none is done with, so names that begin
     alike don't meet all texts.
+
+    Runs and texts are moved as hashes; whole texts come back for what met alone, and ``contains`` decides, so clashes of hashes
+    add nothing and lose nothing. Rows made by ``explode`` are many times what Spark guesses from their table, so the joins are
+    by sorting: a guess must not send them to the driver. Names whose first run is in no text leave before their other runs are
+    made, and texts give runs of the widths that some name has.
     """
     names = entities.where("canonical_name <> ''").select(F.col("canonical_name").alias("name"), F.lower("canonical_name").alias("low")).distinct()
     texts = contradictions.select(F.explode(F.array("topic", "claim_a", "claim_b")).alias("text")).where("text IS NOT NULL").select(F.lower("text").alias("text")).distinct()
-    runs = lambda c, w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - w + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, w))
-    grams = texts.select("text", F.explode(F.array_distinct(F.flatten(F.array(*[runs("text", F.lit(w)) for w in (8, 3, 1)])))).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    texts = texts.select("text", F.xxhash64("text").alias("text_hash"))
     width = F.when(F.length("low") >= 8, F.lit(8)).when(F.length("low") >= 3, F.lit(3)).otherwise(F.lit(1))
-    held = names.select("name", "low", F.explode(F.array_distinct(runs("low", width))).alias("gram")).join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = held.groupBy("name", "low").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.min("n").alias("n")).where("n > 0").select("name", "low", "gram")
-    return grams.join(rarest, "gram").where(F.contains("text", F.col("low"))).select("name").distinct()
+    widths = names.agg(F.coalesce(F.collect_set(width), F.array()).alias("widths"))  # one row of three values at most is broadcast
+    runs = lambda c, w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - w + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col(c), i, w)))
+    asked = texts.crossJoin(F.broadcast(widths))
+    grams = asked.select("text_hash", F.explode(F.array_distinct(F.flatten(F.transform("widths", lambda w: runs("text", w))))).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    lows = names.select("low", F.xxhash64(F.substring(F.col("low"), F.lit(1), width)).alias("gram")).distinct().join(counts.hint("merge"), "gram", "left_semi").select("low")
+    held = lows.select("low", F.explode(F.array_distinct(runs("low", width))).alias("gram")).join(counts.hint("merge"), "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = held.groupBy("low").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.min("n").alias("n")).where("n > 0").select("low", "gram")
+    met = grams.hint("merge").join(rarest, "gram").select("low", "text_hash")
+    inside = met.join(texts.hint("merge"), "text_hash").where(F.contains("text", F.col("low"))).select("low").distinct()
+    return names.join(inside.hint("merge"), "low").select("name").distinct()
 
 
 def nodes(entities: DataFrame, triplets: DataFrame, contradictions: DataFrame) -> DataFrame:

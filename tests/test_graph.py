@@ -141,3 +141,13 @@ def test_writer_context_is_one_bounded_row(spark):
     assert ctx.count() == 1 and "content" not in ctx.columns
     report = report_from_context(ctx)
     assert report.startswith("# grid resilience") and "No open gaps." in report and "Grid batteries stabilize Utilities" in report
+
+
+def test_disputed_sends_no_exploded_rows_to_the_driver(spark):
+    c = contradictions(spark, [("c1", "GRID Batteries fail", "x", "y", "high", "resolved")])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = graph.disputed_entities(entities(spark, ["Grid batteries", "EV"]), c)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 4
