@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evigraph.functions import ids, text as T
 from evigraph.operators import acquire, critic, graph, ingest, registry, synthesis, usage
 from evigraph.plans import index, jobs, routing
-from evigraph.runtime import table
+from evigraph.runtime import cut, table
 from evigraph.search import search
 from evigraph.schemas import conform
 from evigraph.sources import parsing
@@ -212,8 +212,9 @@ FROM (SELECT *, list_transform(taken, lambda x: x.p) AS ps FROM made)
 UNION ALL SELECT 1, ts[1].s, 'Primary graph relationships', {_firsts("list_transform(ts[1:4], lambda x: x.p)", 3)}, array_to_string(list_transform(ts[1:4], lambda x: x.id), ';') FROM ts WHERE len(ts) > 0 AND NOT EXISTS (SELECT 1 FROM made)""")
 def candidate_pillars(spark, sf_dir):
     e, t, c = Tables(spark, sf_dir).ect()
-    top = synthesis.top_entities(e, t, c)
-    return synthesis.pillars(synthesis.representative_triplets(e, t, c, top=top), top)
+    nodes = cut(graph.nodes(e, t, c), "nodes")
+    top = cut(synthesis.top_entities(e, t, c, nodes=nodes), "top")
+    return synthesis.pillars(synthesis.representative_triplets(e, t, c, top=top, nodes=nodes), top)
 
 
 @query("""SELECT contradiction_id, topic, severity, status FROM contradiction_records ORDER BY CASE status WHEN 'open' THEN 0 WHEN 'investigating' THEN 1 WHEN 'accepted_uncertainty' THEN 2 WHEN 'resolved' THEN 3 ELSE 99 END,
