@@ -6,9 +6,9 @@ terminal punctuation is cut. A source has several limits (one for each way its p
 length; ``route`` tells those at the maximum (fewer open values of the source are longer than are at the spike) from others.
 
 Cuts in mid-transfer have no common length. For these a small classifier says how often a sentence ends after the last
-words of a value: it is fitted on sentences, whose ends and insides label themselves, of a bounded sample (``TRAIN_BODIES``
-and ``TRAIN_EVIDENCE`` texts). It knows contexts of one to three words, and longer ones in which only frequent words keep
-their form. Everything else reads all values. Evidence that ends on a whole name of its own triplet is a complete
+words of a value: it is fitted on the sentences of all values, whose ends and insides label themselves. It knows contexts of
+one to three words, and longer ones in which only frequent words keep their form; what it keeps are shares of all words, so
+its size is bounded. Evidence that ends on a whole name of its own triplet is a complete
 statement without its mark, and no cut.
 
 Null and blank values are no cases. Values that end in terminal punctuation are complete, whatever their length. Values
@@ -28,15 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.llm.pages import bodies
-from evigraph.llm.sampling import bounded_sample
 from evigraph.runtime import cut, drop, host_of
 
-TRAIN_BODIES, TRAIN_EVIDENCE = 4000, 20_000
 #: A spike: so many values at one length, and so many times the mean of the lengths within NEAR of it.
 SPIKE_COUNT, SPIKE_TIMES, NEAR = 5, 8, 15
-#: Words seen less often in the sample are known by their class alone; contexts seen less often are not kept.
-WORD_COUNT, CONTEXT_COUNT, FRAME_COUNT = 8, 4, 10
-#: In frames, contexts of FRAMES words, a word keeps its form if it is one in COMMON words of the sample or more frequent.
+#: Words seen less often are known by their class alone; contexts seen less often are not kept. These counts hold up to TOKENS
+#: words in all, and grow in proportion beyond.
+WORD_COUNT, CONTEXT_COUNT, FRAME_COUNT, TOKENS = 8, 4, 10, 1_500_000
+#: In frames, contexts of FRAMES words, a word keeps its form if it is one in COMMON words or more frequent.
 FRAMES, COMMON = (8, 7, 6, 5, 4), 300
 #: A value is cut where sentences end after its last words more rarely than this; with a mark of omission, than the second.
 RATE, MARKED_RATE = 0.05, 0.75
@@ -51,6 +50,14 @@ TOKEN = re.compile(r"https?://\S+|\d+(?:[.,:]\d+)*|[㐀-鿿]|[^\W_]+|[^\w\s]")
 ENDS = frozenset(".!?。！？")
 
 
+#: Contexts are hashed as sums of hashes of their words times these; texts are counted in blocks of BLOCK.
+FACTORS, WORD64, BLOCK = [xxhash.xxh64_intdigest(str(i)) | 1 for i in range(max(FRAMES))], (1 << 64) - 1, 500
+
+
+def _hash(w: str) -> int:
+    return xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+
+
 class Endings:
     """How often a sentence ends after given last words. ``words``: counts of frequent words; ``common``: words that keep
     their form in frames; ``rates``: context hash to share of ends."""
@@ -79,7 +86,8 @@ class Endings:
         for parts, sizes in zip(forms, (FRAMES, (3, 2, 1))):
             for n in sizes:
                 if i + 1 >= n:
-                    yield n, xxhash.xxh64_intdigest(f"{n} " + " ".join(parts[i + 1 - n : i + 1])) - (1 << 63)
+                    key = (sum(_hash(w) * x for w, x in zip(parts[i + 1 - n : i + 1], FACTORS)) + n) & WORD64
+                    yield n, key - (key >> 63 << 64)
 
     def rate(self, text: str) -> float:
         """Share of the times that a sentence ended after the longest known context of the last words."""
@@ -95,18 +103,6 @@ class Endings:
         return 0.5
 
 
-def _positions(text: str, model: Endings) -> Iterator[tuple[tuple[list[str], list[str]], int, bool]]:
-    """Forms of each line, a position behind one of its tokens, whether a sentence ends there."""
-    lines = [line for line in text.split("\n") if line.strip()]
-    for at, line in enumerate(lines):
-        tokens = TOKEN.findall(line)
-        forms = model.forms(tokens)
-        for i in range(1, len(tokens) + 1):
-            if i == len(tokens) and (at == len(lines) - 1 or tokens[-1] in ENDS):
-                continue  # the end of the text itself is what is asked about
-            yield forms, i, i == len(tokens) or tokens[i] in ENDS
-
-
 def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         seen = Counter(w for text in f["text"] for w in TOKEN.findall(text))
@@ -114,18 +110,44 @@ def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _context_counts(words: dict[str, int], total: int):
+    """size, key, n, ends of the contexts before each place in a block of texts: ``Endings.contexts`` for all places at once."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Endings(words, total)
+        model, hashes = Endings(words, total), {}
+        factors = np.array(FACTORS, np.uint64)
+
+        def hashed(w: str) -> int:
+            if w not in hashes:
+                hashes[w] = _hash(w)
+            return hashes[w]
+
         for f in frames:
-            n: Counter = Counter()
-            ends: Counter = Counter()
-            for text in f["text"]:
-                for forms, i, end in _positions(text, model):
-                    for size, key in model.contexts(forms, i):
-                        n[size, key] += 1
-                        if end:
-                            ends[size, key] += 1
-            yield pd.DataFrame({"size": [k[0] for k in n], "key": np.array([k[1] for k in n], np.int64), "n": list(n.values()), "ends": [ends[k] for k in n]})
+            for start in range(0, len(f), BLOCK):
+                frame, plain, place, asked, ends = [], [], [], [], []
+                for text in f["text"].iloc[start : start + BLOCK]:
+                    lines = [line for line in text.split("\n") if line.strip()]
+                    for at, line in enumerate(lines):
+                        tokens = TOKEN.findall(line)
+                        a, b = model.forms(tokens)
+                        frame += map(hashed, a)
+                        plain += map(hashed, b)
+                        place += range(len(a))
+                        # the end of the text itself is what is asked about
+                        last = bool(tokens) and not (at == len(lines) - 1 or tokens[-1] in ENDS)
+                        asked += [False, *[True] * (len(tokens) - 1), last][: len(a)]
+                        ends += [False, *[w in ENDS for w in tokens[1:]], True][: len(a)]
+                place, asked, ends = np.array(place, np.int64), np.array(asked, bool), np.array(ends, bool)
+                for parts, sizes in ((np.array(frame, np.uint64), FRAMES), (np.array(plain, np.uint64), (3, 2, 1))):
+                    for n in sizes:
+                        where = np.flatnonzero(asked & (place >= n - 1))
+                        key = np.full(len(where), n, np.uint64)
+                        for i in range(n):
+                            key += parts[where + (i + 1 - n)] * factors[i]
+                        keys, inverse = np.unique(key, return_inverse=True)
+                        yield pd.DataFrame({
+                            "size": np.full(len(keys), n, np.int32), "key": keys.view(np.int64), "n": np.bincount(inverse, minlength=len(keys)),
+                            "ends": np.bincount(inverse, weights=ends[where], minlength=len(keys)).astype(np.int64),
+                        })
 
     return run
 
@@ -175,22 +197,20 @@ def text_values(docs: DataFrame, triplets: DataFrame) -> DataFrame:
 
 
 def fit_endings(values: DataFrame) -> tuple[dict[str, int], int, dict[int, float]]:
-    """Words, total of all words, and rates of the classifier, from TRAIN_BODIES bodies and TRAIN_EVIDENCE evidence texts.
+    """Frequent words, total of all words, and rates of the classifier, from all values.
 
-    The sample is counted in tasks; the counts sent to the driver are bounded by the sample.
+    All are counted in tasks; what is sent to the driver has a share of all words and is bounded by it.
     """
-    parts = [bounded_sample(values.where(F.col("record_kind") == kind).select("record_id", "text"), n, "record_id") for kind, n in (("source_document", TRAIN_BODIES), ("triplet", TRAIN_EVIDENCE))]
-    tasks = max(8, values.sparkSession.sparkContext.defaultParallelism)
-    sample = cut(parts[0].unionByName(parts[1]).select("text", F.xxhash64("record_id").alias("h")).repartition(tasks, "h"), "sample")
-    seen = sample.select("text").mapInPandas(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    got = seen.select(F.when(F.col("n") >= WORD_COUNT, F.col("word")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    words = {w: n for w, n in zip(got["word"], got["n"]) if w is not None}
-    total = sum(got["n"])
-    found = sample.select("text").mapInPandas(_context_counts(words, total), "size int, key long, n long, ends long").groupBy("size", "key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-    least = F.when(F.col("size") >= min(FRAMES), FRAME_COUNT).when(F.col("size") > 1, CONTEXT_COUNT).otherwise(1)
+    seen = cut(values.select("text").mapInPandas(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "seen")
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    times = max(1.0, total / TOKENS)
+    got = seen.where(F.col("n") >= WORD_COUNT * times).toArrow()
+    words = dict(zip(got["word"].to_pylist(), got["n"].to_pylist()))
+    found = values.select("text").mapInPandas(_context_counts(words, total), "size int, key long, n long, ends long").groupBy("size", "key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    least = F.when(F.col("size") >= min(FRAMES), FRAME_COUNT * times).when(F.col("size") > 1, CONTEXT_COUNT * times).otherwise(1)
     got = found.where(F.col("n") >= least).select("key", ((F.col("ends") + 0.1) / (F.col("n") + 0.2)).alias("rate")).toArrow()
     rates = dict(zip(got["key"].to_pylist(), got["rate"].to_pylist()))
-    drop(sample)
+    drop(seen)
     return words, total, rates
 
 
@@ -201,7 +221,7 @@ def cut_values(values: DataFrame) -> DataFrame:
     spike), inside (by its last words alone); null for others.
     """
     values = cut(values, "values")
-    endings = values.sparkSession.sparkContext.broadcast(fit_endings(values))  # bounded by the sample
+    endings = values.sparkSession.sparkContext.broadcast(fit_endings(values))  # bounded by shares
     kinds = "record_kind string, record_id string, host string, method string, chars int, bytes int, open_end boolean, inside boolean"
     measured = cut(values.mapInPandas(_features(endings), kinds), "measured", done=(values,))
     sources = F.array(F.struct(F.lit("host").alias("by"), F.coalesce("host", F.lit("")).alias("source")), F.struct(F.lit("method").alias("by"), F.col("method").alias("source")))

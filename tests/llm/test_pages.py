@@ -158,3 +158,29 @@ def test_filler_needs_no_word_list_and_long_texts_with_a_weak_word_stay(spark):
     real = "The court asked for more time. " + "The town council read the plan of the new bridge over the river in full. " * 12
     rows = [("filler", "https://f.test/1", filler, "x", 0), ("same", "https://f.test/2", same, "x", 0), ("real", "https://f.test/3", real, "x", 0)]
     assert sorted(r["document_id"] for r in pages.residue_records(spark.createDataFrame(rows, SCHEMA)).collect()) == ["filler", "same"]
+
+
+def test_sentence_ends_are_counted_over_all_values(spark):
+    values = spark.range(25_000).selectExpr("'triplet' AS record_kind", "cast(id AS string) AS record_id", "'grid fails' AS text")
+    words, total, rates = truncation.fit_endings(values)
+    assert total == 50_000 and words == {"grid": 25_000, "fails": 25_000} and rates
+
+
+def test_contexts_counted_in_blocks_are_those_that_are_looked_up():
+    import pandas as pd
+
+    words = {"the": 900, "grid": 9, "fails": 9}
+    model, texts = truncation.Endings(words, 1000), ["The grid fails. the grid\n the Grid of 12 fails.\nthe end", "", "grid"]
+    frames = list(truncation._context_counts(words, 1000)([pd.DataFrame({"text": texts})]))
+    got = {(r.size_, r.key): (r.n, r.ends) for f in frames for r in f.rename(columns={"size": "size_"}).itertuples()}
+    want = {}
+    for text in texts:
+        lines = text.split("\n")
+        for at, line in enumerate(lines):
+            tokens = truncation.TOKEN.findall(line)
+            for i in range(1, len(tokens) + 1):
+                if i < len(tokens) or not (at == len(lines) - 1 or tokens[-1] in truncation.ENDS):
+                    for k in model.contexts(model.forms(tokens), i):
+                        n, e = want.get(k, (0, 0))
+                        want[k] = n + 1, e + (i == len(tokens) or tokens[i] in truncation.ENDS)
+    assert got == want
