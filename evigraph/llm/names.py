@@ -1,14 +1,14 @@
 """Variant spellings of names of people and organisations (p2) by metric-space partitioning.
 
 Distinct strings are read into folded words, initials, and the words of organisations (legal forms, lines of business).
-Misspelt words are found by an exact radius join under the Levenshtein metric: words are assigned to the nearest of a set
-of pivots, and by the triangle inequality a word y can have a partner within radius r in the cell of pivot p only if
-d(y, p) <= d(y, own pivot) + 2 r and d(y, p) <= (radius of the cell) + r; it is replicated to these cells alone. Inside a
-cell the join is exact and doesn't compare all pairs: a word within distance r of another holds one of r + 1 segments of it
-unchanged and at most r places off, so words are looked up by segments and the metric itself decides on what is found. The
-radius depends on length: 2 from LONG_WORD letters on, 1 below (and two letters exchanged), 0 below MIN_WORD. Cells are cut
-into blocks, so that none grows with the number of words. A rare word takes the spelling of its most frequent neighbour, and
-that of this word's, to the end of the chain.
+Misspelt words are found by an exact radius join under the Levenshtein metric: the cell of a string holds all words that become it
+when letters are left out, as many as the radius at most, so each word is replicated to the cells within its radius. Two words within
+distance r of each other leave out so many letters at most before they are equal, so they meet in a cell, and the metric itself decides
+on what meets. Words of more than LETTERS letters would have too many cells: they are cut into r + 1 segments, one of which a word
+within r holds unchanged and at most r places off, and segments are their cells. A word has some tens of cells, however many words
+there are, and a cell holds words that are alike alone; cells are joined on their hashes (an equi-join), never grouped. The
+radius depends on length: 2 from LONG_WORD letters on, 1 below (and two letters exchanged), 0 below MIN_WORD. A rare word takes the
+spelling of its most frequent neighbour, and that of this word's, to the end of the chain.
 
 With corrected words the rarest word of a name is its stem (surname, or the firm's own name). Strings with one stem are one
 entity if given names (or nicknames of one name) or lines of business agree and middle initials or legal forms don't differ;
@@ -27,15 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.runtime import cut
 
 RADIUS = 2
-#: Pivots are one in PER_PIVOT words, MIN_PIVOTS to MAX_PIVOTS: edit distances of words lie close together, so a word is near most
-#: pivots, and more of them mean more replicas, not smaller cells. Replicas of a cell are cut into blocks of about BLOCK.
-PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS, BLOCK = 100, 8, 64, 200_000
+#: Words of more letters than this are found by segments, whose number doesn't grow with the word.
+LETTERS = 14
 #: Words shorter than this are compared at radius 1 (or two letters exchanged), and not at all below MIN_WORD.
 LONG_WORD, MIN_WORD = 6, 4
 
@@ -158,129 +158,132 @@ def distances(word: str, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return rows[np.arange(len(others)), lengths]
 
 
-def within(a: str, b: str, radius: int) -> int | None:
-    """Levenshtein distance of two words if it is at most ``radius``; only the diagonal band that can hold it is computed."""
-    la, lb = len(a), len(b)
-    if abs(la - lb) > radius:
-        return None
-    far = radius + 1
-    row = [j if j <= radius else far for j in range(lb + 1)]
-    for i in range(1, la + 1):
-        low, high = max(1, i - radius), min(lb, i + radius)
-        new = [far] * (lb + 1)
-        new[0] = i if i <= radius else far
-        best = new[0]
-        for j in range(low, high + 1):
-            d = min(row[j - 1] + (a[i - 1] != b[j - 1]), row[j] + 1, new[j - 1] + 1)
-            new[j] = d if d < far else far
-            best = min(best, new[j])
-        if best > radius:
-            return None
-        row = new
-    return row[lb] if row[lb] <= radius else None
-
-
-class Segments:
-    """Words by length and segment: ``near`` gives a superset of the words within a radius."""
-
-    def __init__(self, words: list[str], radius: int, which: list[int]) -> None:
-        self.parts, self.radius = radius + 1, radius
-        self.index: dict[int, list[dict[str, list[int]]]] = {}
-        places: dict[int, list] = {}
-        for at in which:
-            w = words[at]
-            n = len(w)
-            if n not in places:
-                self.index[n] = [{} for _ in range(self.parts)]
-                places[n] = list(zip(self.index[n], self.cuts(n)))
-            for table, (start, end) in places[n]:
-                s = w[start:end]
-                if s in table:
-                    table[s].append(at)
-                else:
-                    table[s] = [at]
-
-    def cuts(self, n: int) -> list[tuple[int, int]]:
-        """Places of the segments of a word of n letters; the longer ones come last."""
-        size, extra = divmod(n, self.parts)
-        ends = [size * (i + 1) + max(0, i + 1 - (self.parts - extra)) for i in range(self.parts)]
-        return list(zip([0, *ends], ends))
-
-    def near(self, w: str, lengths: range) -> set[int]:
-        found: set[int] = set()
-        for n in lengths:
-            for table, (start, end) in zip(self.index.get(n, ()), self.cuts(n)):
-                for at in range(max(0, start - self.radius), min(len(w) - (end - start), start + self.radius) + 1):
-                    if hit := table.get(w[at : at + end - start]):
-                        found.update(hit)
-        return found
-
-
-def _cells(pivots: list[str]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            matrix, lengths = _matrix(f["word"].tolist())
-            d = np.stack([distances(p, matrix, lengths) for p in pivots], axis=1)
-            own = d.argmin(axis=1)
-            rows, cells = np.nonzero(d <= d[np.arange(len(d)), own][:, None] + 2 * RADIUS)
-            yield pd.DataFrame({"cell": cells, "word": f["word"].to_numpy()[rows], "n": f["n"].to_numpy()[rows], "d": d[rows, cells], "home": cells == own[rows]})
-
-    return run
+#: Strings are hashed as sums of code points times powers of BASE, which holds for any string with letters left out by three sums.
+BASE = 0x9E3779B97F4A7C15
+LEFT, RIGHT = 1, 2
+CELLS = "key long, word string, n long, side int, radius int"
+
+
+def _mix(h: np.ndarray, kind: int) -> np.ndarray:
+    h = h ^ np.uint64(kind * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]))
+
+
+def left_out(codes: np.ndarray, most: int) -> list[list[np.ndarray]]:
+    """Hashes of words of one length with 0, 1, ... ``most`` (2 at most) letters left out; ``codes``: a row of code points per word."""
+    n, powers = codes.shape[1], _powers(codes.shape[1])
+    # sums[t][:, k]: the first k letters, each t places further to the left
+    sums = [np.concatenate([np.zeros((len(codes), 1), np.uint64), np.cumsum(codes[:, t:] * powers[: n - t], axis=1, dtype=np.uint64)], axis=1) for t in range(most + 1)]
+    between = lambda t, i, j: sums[t][:, j - t] - sums[t][:, i - t]  # noqa: E731  (letters i to j - 1, i >= t)
+    out = [[between(0, 0, n)]]
+    if most:
+        out.append([between(0, 0, i) + between(1, i + 1, n) for i in range(n)])
+    if most > 1:
+        out.append([between(0, 0, i) + between(1, i + 1, j) + between(2, j + 1, n) for i in range(n) for j in range(i + 1, n)])
+    return out
+
+
+def _segments(n: int) -> list[tuple[int, int]]:
+    """Places of the RADIUS + 1 segments of a word of n letters."""
+    ends = [n * (i + 1) // (RADIUS + 1) for i in range(RADIUS + 1)]
+    return list(zip([0, *ends], ends))
+
+
+def word_cells(codes: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Keys of the cells of words of one length, one per word each, with side and radius. Of two words that meet the longer one is on
+    the LEFT side (either one if they are as long), the other on the RIGHT."""
+    n = codes.shape[1]
+    if n <= LONG_WORD:
+        # a word of LONG_WORD letters meets shorter ones within 1
+        for out, found in enumerate(left_out(codes, 1)):
+            side = (LEFT if out == 1 else 0) | (RIGHT if n < LONG_WORD else 0)
+            for h in found if side else ():
+                yield _mix(h, 16 * (n - out) + 1), side, 1
+        if n < LONG_WORD:
+            yield _mix((np.sort(codes, axis=1) * _powers(n)[:n]).sum(axis=1, dtype=np.uint64), 16 * n + 2), LEFT | RIGHT, RADIUS
+    if LONG_WORD <= n <= LETTERS:
+        for out, found in enumerate(left_out(codes, RADIUS)):
+            for h in found:
+                yield _mix(h, 16 * (n - out) + 3), LEFT | RIGHT if out == RADIUS else RIGHT, RADIUS
+    hashed = lambda start, end: (codes[:, start:end] * _powers(end - start)[: end - start]).sum(axis=1, dtype=np.uint64)
+    if n > LETTERS:
+        for i, (start, end) in enumerate(_segments(n)):
+            yield _mix(hashed(start, end), 16 * n + 4 + i), LEFT, RADIUS
+    for other in range(max(n, LETTERS + 1), n + RADIUS + 1) if n >= LONG_WORD else ():
+        for i, (start, end) in enumerate(_segments(other)):
+            for at in range(max(0, start - RADIUS), min(n - (end - start), start + RADIUS) + 1):
+                yield _mix(hashed(at, at + end - start), 16 * other + 4 + i), RIGHT, RADIUS
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        lengths = np.array([len(w) for w in words], np.int64)
+        for n in np.unique(lengths).tolist():
+            of_n = np.flatnonzero(lengths == n)
+            for rows in np.split(of_n, range(2000, len(of_n), 2000)):
+                codes, part = _matrix([words[i] for i in rows])[0].astype(np.uint64), batch.take(pa.array(rows))
+                keys, sides, radii = zip(*word_cells(codes))
+                at = pa.array(np.tile(np.arange(len(rows)), len(keys)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(at), part.column(1).take(at),
+                    pa.array(np.repeat(np.array(sides, np.int32), len(rows))), pa.array(np.repeat(np.array(radii, np.int32), len(rows))),
+                ], names=["key", "word", "n", "side", "radius"])
+
+
+def _met(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """word, n, other, m, distance: pairs of words within the radius, one way round and once for each cell where they meet; the table
+    of cells that it reads."""
+    asked = words.where(F.length("word") >= MIN_WORD).select("word", F.col("n").cast("long").alias("n"))
+    tasks = max(1, min(512, asked.count() // 2000))
+    cells = cut(asked.repartition(tasks).mapInArrow(_cells, CELLS), "cells")
+    a = cells.where(F.col("side").bitwiseAND(LEFT) > 0).select("key", "word", "n", "radius")
+    b = cells.where(F.col("side").bitwiseAND(RIGHT) > 0).select("key", F.col("word").alias("other"), F.col("n").alias("m"))
+    size, other = F.length("word"), F.length("other")
+    met = a.join(b, "key").where((size > other) | ((size == other) & (F.col("word") < F.col("other"))))
+    return met.withColumn("distance", F.levenshtein("word", "other", RADIUS)).where("distance BETWEEN 1 AND radius").select("word", "n", "other", "m", "distance"), cells
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    turned = F.array(F.struct("word", "n", "other", "m", "distance"), F.struct(F.col("other").alias("word"), F.col("m").alias("n"), F.col("word").alias("other"), F.col("n").alias("m"), "distance"))
+    return pairs.select(F.inline(turned))
+
+
+def close_words(words: DataFrame) -> DataFrame:
+    """word, n, other, m, distance: all pairs of different words within the radius, both ways round. ``words``: word, n."""
+    return _both_ways(_met(words)[0].distinct())
 
 
 def _join_cell(f: pd.DataFrame) -> pd.DataFrame:
-    home, near = f[f["home"]], f[~f["home"]]
+    """``close_words`` for the words of one frame, rows of ``home`` against the others, with the metric by ``distances``."""
+    words = f.drop_duplicates("word")[["word", "n"]]
+    cells = pd.concat([b.to_pandas() for b in _cells(iter([pa.RecordBatch.from_pandas(words, preserve_index=False)]))])[["key", "word", "side", "radius"]]
+    met = cells[cells["side"] & LEFT > 0].merge(cells[cells["side"] & RIGHT > 0], on="key").query("word_x != word_y")
+    both = pd.concat([met[["word_x", "word_y", "radius_x"]], met[["word_y", "word_x", "radius_x"]].set_axis(["word_x", "word_y", "radius_x"], axis=1)])
+    both = both.groupby(["word_x", "word_y"], as_index=False)["radius_x"].max()
+    home, near = f[f["home"]].set_index("word")["n"], f[~f["home"]].set_index("word")["n"]
     out = []
-    words, counts = near["word"].tolist(), near["n"].tolist()
-    sizes = near["word"].str.len().to_numpy()
-    wide = Segments(words, RADIUS, np.flatnonzero(sizes >= LONG_WORD).tolist())
-    tight = Segments(words, 1, np.flatnonzero(sizes <= LONG_WORD).tolist())
-    turned: dict[str, list[int]] = {}
-    for i in np.flatnonzero(sizes < LONG_WORD).tolist():
-        turned.setdefault("".join(sorted(words[i])), []).append(i)
-    for w, n in zip(home["word"], home["n"]):
-        size, letters = len(w), "".join(sorted(w))
-        found = wide.near(w, range(max(LONG_WORD, size - RADIUS), size + RADIUS + 1)) if size >= LONG_WORD else set()
-        if size <= LONG_WORD:
-            found |= tight.near(w, range(size - 1, min(size + 1, LONG_WORD if size < LONG_WORD else LONG_WORD - 1) + 1))
-        found.update(turned.get(letters, ()))
-        for i in found:
-            other = words[i]
-            radius = RADIUS if min(size, len(other)) >= LONG_WORD or letters == "".join(sorted(other)) else 1
-            x = within(w, other, radius)
-            if x:
-                out.append((w, int(n), other, int(counts[i]), x))
+    for w, g in both[both["word_x"].isin(home.index) & both["word_y"].isin(near.index)].groupby("word_x"):
+        others = g["word_y"].tolist()
+        for other, radius, x in zip(others, g["radius_x"], distances(w, *_matrix(others)).tolist()):
+            if 0 < x <= radius:
+                out.append((w, int(home[w]), other, int(near[other]), x))
     return pd.DataFrame(out, columns=["word", "n", "other", "m", "distance"])
 
 
-def close_words(words: DataFrame) -> DataFrame:
-    """word, n, other, m, distance: all pairs of different words within the radius, both ways round. ``words``: word, n."""
-    spark = words.sparkSession
-    asked = words.where(F.length("word") >= MIN_WORD)
-    size = asked.count()
-    pivots = [r["word"] for r in asked.orderBy(F.xxhash64("word"), "word").limit(max(MIN_PIVOTS, min(MAX_PIVOTS, size // PER_PIVOT))).select("word").collect()]
-    if not pivots:
-        return spark.createDataFrame([], "word string, n long, other string, m long, distance int")
-    tasks = max(1, min(512, size // 2000))
-    placed = cut(asked.repartition(tasks).mapInPandas(_cells(pivots), "cell int, word string, n long, d int, home boolean"), "cells")
-    radius = placed.where("home").groupBy("cell").agg(F.max("d").alias("r"))
-    blocks = max(1, -(-size // BLOCK))
-    near = placed.join(F.broadcast(radius), "cell").where(F.col("d") <= F.col("r") + RADIUS).select(  # at most MAX_PIVOTS rows are broadcast
-        "cell", "word", "n", F.lit(False).alias("home"), F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("block")
-    )
-    home = placed.where("home").select("cell", "word", "n", "home", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    return home.unionByName(near).groupBy("cell", "block").applyInPandas(_join_cell, "word string, n long, other string, m long, distance int")
-
-
 def spellings(words: DataFrame) -> DataFrame:
     """word, spelling: words that take the spelling of a more frequent neighbour (ties: the nearer, then the smaller)."""
-    pairs = close_words(words)
+    met, cells = _met(words)
     better = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("word")))
     rare = F.col("n") * 2 <= F.col("m") + 1
-    best = F.min_by("other", F.struct(-F.col("m"), "distance", "other"))
-    return pairs.where(better & rare).groupBy("word").agg(best.alias("spelling"))
+    best = F.min_by("other", F.struct(-F.col("m"), "distance", "other"))  # the same, however often two words meet
+    return cut(_both_ways(met).where(better & rare).groupBy("word").agg(best.alias("spelling")), "spellings", done=(cells,))
 
 
 def _to_the_end(fixed: DataFrame) -> DataFrame:
@@ -299,7 +302,7 @@ def name_entities(entities: DataFrame, triplets: DataFrame) -> DataFrame:
     names = cut(all_names(entities, triplets).mapInPandas(_read, "name string, kind string, words array<string>, initials array<string>, business array<string>, legal array<string>"), "names")
     each = names.where("kind <> 'other'").select("name", "kind", F.explode(F.array_distinct("words")).alias("word"))
     words = cut(each.groupBy("word").agg(F.count("*").alias("n")), "words")
-    fixed = _to_the_end(cut(spellings(words), "spellings"))
+    fixed = _to_the_end(spellings(words))
     read = cut(each.join(fixed, "word", "left").select("name", F.coalesce("spelling", "word").alias("word")), "read")
     known = read.groupBy("word").agg(F.count("*").alias("n"))
     read = read.join(known, "word")

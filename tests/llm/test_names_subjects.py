@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 import pandas as pd
 
@@ -133,3 +135,28 @@ def test_segments_lose_no_pair_within_the_radius():
 def test_chains_of_spellings_end_at_one_word(spark):
     chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "y")], "word string, spelling string")
     assert {tuple(r) for r in names._to_the_end(chain).collect()} == {("a", "e"), ("b", "e"), ("c", "e"), ("d", "e"), ("x", "y")}
+
+
+def test_words_meet_those_that_are_alike_alone(spark):
+    rng = random.Random(6)
+    some = lambda n: {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(7, 20))) for _ in range(n)}
+    rows = lambda words: spark.createDataFrame([(w, 1) for w in words], "word string, n long")
+    cells = lambda words: next(names._cells(iter([pa.RecordBatch.from_pydict({"word": sorted(words), "n": [1] * len(words)})]))).num_rows
+    assert cells({"x" * 5000}) < 300  # of a word as long as this, too
+    words = some(4000)
+    met, _ = names._met(rows(words))
+    keys = [k for b in names._cells(iter([pa.RecordBatch.from_pydict({"word": sorted(words), "n": [1] * len(words)})])) for k in b.column(0).to_pylist()]
+    assert sum(n - 1 for n in Counter(keys).values()) < 40 * len(words) and met.count() < len(words)  # all pairs: 8,000,000
+
+
+def test_long_words_and_odd_letters_match_brute_force(spark):
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abeéß中😀") for _ in range(rng.choice((5, 6, 12, 13, 14, 15, 16, 17, 40)))) for _ in range(90)]
+    words = set(base)
+    for w in base:
+        i, j = rng.randrange(len(w)), rng.randrange(len(w))
+        words |= {w[:i] + w[i + 1 :], w[:i] + "xy" + w[i:], w[:i] + "x" + w[i + 1 :], (w[:j] + "y" + w[j:]).replace(w[i], "", 1)}
+    words = sorted(w for w in words if len(w) >= names.MIN_WORD)
+    want = {(a, b) for a in words for b in words if 0 < levenshtein(a, b) <= (2 if min(len(a), len(b)) >= names.LONG_WORD or sorted(a) == sorted(b) else 1)}
+    got = [(r["word"], r["other"]) for r in names.close_words(spark.createDataFrame([(w, 1) for w in words], "word string, n long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
