@@ -50,8 +50,11 @@ TOKEN = re.compile(r"https?://\S+|\d+(?:[.,:]\d+)*|[㐀-鿿]|[^\W_]+|[^\w\s]")
 ENDS = frozenset(".!?。！？")
 
 
-#: Contexts are hashed as sums of hashes of their words times these; texts are counted in blocks of BLOCK.
-FACTORS, WORD64, BLOCK = [xxhash.xxh64_intdigest(str(i)) | 1 for i in range(max(FRAMES))], (1 << 64) - 1, 500
+#: Contexts are hashed as sums of hashes of their words, the last word first, times these, with a last bit of 0; places are counted
+#: in blocks of PLACES or a little more.
+FACTORS, WORD64, PLACES = [xxhash.xxh64_intdigest(str(i)) | 1 for i in range(max(FRAMES))], (1 << 64) - 1, 400_000
+#: Marks and closing marks are looked for in so many characters at the end of a text first. Chunks of text whose tokens are kept.
+TAIL, CHUNKS = 100, 300_000
 
 
 def _hash(w: str) -> int:
@@ -86,12 +89,16 @@ class Endings:
         for parts, sizes in zip(forms, (FRAMES, (3, 2, 1))):
             for n in sizes:
                 if i + 1 >= n:
-                    key = (sum(_hash(w) * x for w, x in zip(parts[i + 1 - n : i + 1], FACTORS)) + n) & WORD64
+                    key = (sum(_hash(w) * x for w, x in zip(parts[i + 1 - n : i + 1][::-1], FACTORS)) + n) & WORD64 - 1
                     yield n, key - (key >> 63 << 64)
 
     def rate(self, text: str) -> float:
         """Share of the times that a sentence ended after the longest known context of the last words."""
-        tokens = TOKEN.findall(text.rsplit("\n", 1)[-1])
+        tokens: list[str] = []
+        for chunk in reversed(text.rsplit("\n", 1)[-1].split()):
+            tokens = TOKEN.findall(chunk) + tokens
+            if len(tokens) >= max(FRAMES):  # no context is longer
+                break
         if not tokens:
             return 1.0
         last = tokens[-1]
@@ -104,54 +111,119 @@ class Endings:
 
 
 def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """No token spans white space, so chunks are counted and then read once each."""
     for f in frames:
-        seen = Counter(w for text in f["text"] for w in TOKEN.findall(text))
+        chunks: Counter[str] = Counter()
+        seen: Counter[str] = Counter()
+        for text in f["text"]:
+            chunks.update(text.split())
+        for chunk, n in chunks.items():
+            for w in TOKEN.findall(chunk):
+                seen[w] += n
         yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
 
-def _context_counts(words: dict[str, int], total: int):
-    """size, key, n, ends of the contexts before each place in a block of texts: ``Endings.contexts`` for all places at once."""
+class _Tokens:
+    """Numbers of tokens, by chunks of text, with their hashes as frames and as contexts of words see them; 0 is the mark of a line's start."""
+
+    def __init__(self, model: Endings) -> None:
+        self.model, self.hashes = model, {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.chunks, self.numbers, self.ends = {}, {}, [False]
+        self.frame, self.plain = ([self.hashed(x)] for x in ("<s>", "<s>"))
+
+    def hashed(self, w: str) -> int:
+        if w not in self.hashes:
+            self.hashes[w] = _hash(w)
+        return self.hashes[w]
+
+    def read(self, chunk: str) -> list[int]:
+        tokens, out = TOKEN.findall(chunk), []
+        for w, frame, plain in zip(tokens, *(x[1:] for x in self.model.forms(tokens))):
+            if w not in self.numbers:
+                self.numbers[w] = len(self.ends)
+                self.ends.append(w in ENDS)
+                self.frame.append(self.hashed(frame))
+                self.plain.append(self.hashed(plain))
+            out.append(self.numbers[w])
+        self.chunks[chunk] = out
+        return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, hashes = Endings(words, total), {}
-        factors = np.array(FACTORS, np.uint64)
 
-        def hashed(w: str) -> int:
-            if w not in hashes:
-                hashes[w] = _hash(w)
-            return hashes[w]
+def _context_counts(words: dict[str, int], total: int):
+    """size, key, n, ends of the contexts before each place in blocks of texts: ``Endings.contexts`` for all places at once."""
+
+    def keys(known: _Tokens, ids: list[int], line_ends: list[int], last_lines: list[bool]) -> Iterator[tuple[int, np.ndarray]]:
+        """Size and, for all places that are asked about, the key with the end as its last bit."""
+        at, close, is_end = np.array(ids), np.array(line_ends), np.array(known.ends)
+        size = np.diff(close, prepend=-1)
+        place = np.arange(len(at)) - np.repeat(close - size + 1, size)
+        asked, ends = place > 0, np.append(is_end[at[1:]], True)
+        ends[close] = True
+        asked[close] &= ~(np.array(last_lines) | is_end[at[close]])  # the end of the text itself is what is asked about
+        for hashes, sizes in ((known.frame, FRAMES), (known.plain, (3, 2, 1))):
+            parts = np.array(hashes, np.uint64)[at]
+            key = np.zeros(len(at), np.uint64)
+            for n in range(1, max(sizes) + 1):
+                key[n - 1 :] += parts[: len(at) - n + 1] * np.uint64(FACTORS[n - 1])
+                if n in sizes:
+                    where = asked & (place >= n - 1)
+                    yield n, (key[where] + np.uint64(n)) & np.uint64(WORD64 - 1) | ends[where]
+
+    def counted(found: list[tuple[int, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        for n in sorted({n for n, _ in found}):
+            key = np.sort(np.concatenate([k for m, k in found if m == n]))
+            bits, key = (key & np.uint64(1)).astype(np.int64), key & np.uint64(WORD64 - 1)
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+            yield pd.DataFrame({
+                "size": np.full(len(starts), n, np.int32), "key": key[starts].view(np.int64), "n": np.diff(starts, append=len(key)),
+                "ends": np.add.reduceat(bits, starts) if len(starts) else starts,
+            })
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Tokens(Endings(words, total))
+        ids: list[int] = []
+        line_ends: list[int] = []
+        last_lines: list[bool] = []
         for f in frames:
-            for start in range(0, len(f), BLOCK):
-                frame, plain, place, asked, ends = [], [], [], [], []
-                for text in f["text"].iloc[start : start + BLOCK]:
-                    lines = [line for line in text.split("\n") if line.strip()]
-                    for at, line in enumerate(lines):
-                        tokens = TOKEN.findall(line)
-                        a, b = model.forms(tokens)
-                        frame += map(hashed, a)
-                        plain += map(hashed, b)
-                        place += range(len(a))
-                        # the end of the text itself is what is asked about
-                        last = bool(tokens) and not (at == len(lines) - 1 or tokens[-1] in ENDS)
-                        asked += [False, *[True] * (len(tokens) - 1), last][: len(a)]
-                        ends += [False, *[w in ENDS for w in tokens[1:]], True][: len(a)]
-                place, asked, ends = np.array(place, np.int64), np.array(asked, bool), np.array(ends, bool)
-                for parts, sizes in ((np.array(frame, np.uint64), FRAMES), (np.array(plain, np.uint64), (3, 2, 1))):
-                    for n in sizes:
-                        where = np.flatnonzero(asked & (place >= n - 1))
-                        key = np.full(len(where), n, np.uint64)
-                        for i in range(n):
-                            key += parts[where + (i + 1 - n)] * factors[i]
-                        keys, inverse = np.unique(key, return_inverse=True)
-                        yield pd.DataFrame({
-                            "size": np.full(len(keys), n, np.int32), "key": keys.view(np.int64), "n": np.bincount(inverse, minlength=len(keys)),
-                            "ends": np.bincount(inverse, weights=ends[where], minlength=len(keys)).astype(np.int64),
-                        })
+            for text in f["text"]:
+                lines = [line for line in text.split("\n") if line.strip()]
+                for line in lines:
+                    ids.append(0)
+                    for chunk in line.split():
+                        ids += known.chunks[chunk] if chunk in known.chunks else known.read(chunk)
+                    line_ends.append(len(ids) - 1)
+                if lines:
+                    last_lines += [False] * (len(lines) - 1)
+                    last_lines.append(True)
+                if len(ids) >= PLACES:
+                    yield from counted(list(keys(known, ids, line_ends, last_lines)))
+                    ids, line_ends, last_lines = [], [], []
+                    if len(known.chunks) > CHUNKS:
+                        known.clear()
+        if ids:
+            yield from counted(list(keys(known, ids, line_ends, last_lines)))
 
     return run
 
 
+def _marked(text: str) -> int | None:
+    """Where a mark of omission at the end of a stripped text, or the white space before it, begins."""
+    # all marks are shorter than TAIL but one that holds a number
+    m = MARK.search(text, 0 if text[-6:].lower() == "chars]" else max(0, len(text) - TAIL))
+    return len(text[: m.start()].rstrip()) if m else None
+
+
+def _is_closed(core: str) -> bool:
+    """Whether a text ends in terminal punctuation."""
+    at = max(0, len(core) - TAIL)
+    if CLOSED.search(core, at):
+        return True
+    return at > 0 and not any(c.isalpha() for c in core[at:]) and CLOSED.search(core) is not None
+
+
 def _ends_on(text: str, names) -> bool:
     """Whether the text ends on one of the names as a whole."""
     low = text.lower()
@@ -165,14 +237,14 @@ def _features(endings) -> object:
             rows = []
             for text, names in zip(f["text"], f["names"]):
                 text = text.rstrip()
-                marked = MARK.search(text)
-                core = text[: marked.start()] if marked else text
+                marked = _marked(text)
+                core = text[:marked]
                 broken = core.endswith("�")
                 core = core.rstrip("�")
-                open_end = broken or not CLOSED.search(core)
-                named = open_end and not broken and not marked and names is not None and _ends_on(core, names)
+                open_end = broken or not _is_closed(core)
+                named = open_end and not broken and marked is None and names is not None and _ends_on(core, names)
                 rate = (0.0 if broken else model.rate(core)) if open_end and not named else 1.0
-                rows.append((len(core), len(core.encode("utf-8", "replace")), open_end, rate < (MARKED_RATE if marked else RATE)))
+                rows.append((len(core), len(core.encode("utf-8", "replace")), open_end, rate < (RATE if marked is None else MARKED_RATE)))
             made = pd.DataFrame(rows, columns=["chars", "bytes", "open_end", "inside"])
             yield pd.concat([f[["record_kind", "record_id", "host", "method"]].reset_index(drop=True), made], axis=1)
 

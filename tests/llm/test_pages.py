@@ -184,3 +184,34 @@ def test_contexts_counted_in_blocks_are_those_that_are_looked_up():
                         n, e = want.get(k, (0, 0))
                         want[k] = n + 1, e + (i == len(tokens) or tokens[i] in truncation.ENDS)
     assert got == want
+
+
+def test_contexts_of_many_texts_leave_a_task_once():
+    import pandas as pd
+
+    run = truncation._context_counts({"grid": 9}, 1000)
+    frames = list(run([pd.DataFrame({"text": ["The grid fails here.\nthe grid"] * 1200})] * 2))
+    keys = [k for f in frames for k in f["key"]]
+    assert len(keys) == len(set(keys)) and not any(n % 2400 for f in frames for n in f["n"])
+
+
+def test_ends_of_long_texts_are_those_of_whole_searches():
+    import random
+
+    rng = random.Random(8)
+    ends = ["...", "…", "[truncated]", "[+12 chars]", "[+" + "7" * 300 + " chars]", "<conn reset by peer", "Read more", "(more)", ".", '."', "”", "?\n", ":-)", ". \U0001f600\ufe0f", ". :)" * 90, "\"" * 300, ".\"" + ")" * 300, "```", "word", " ", "\n\n", "[…]", "." * 300]
+    for _ in range(3000):
+        text = ("a b. " * rng.choice((0, 3, 80)) + rng.choice(("x", "", " " * 200, "foo.\n")) + "".join(rng.choice(ends) for _ in range(rng.randint(0, 3)))).rstrip()
+        m = truncation.MARK.search(text)
+        assert truncation._marked(text) == (m.start() if m else None), text
+        assert truncation._is_closed(text) == bool(truncation.CLOSED.search(text)), text
+
+
+def test_lines_that_recur_are_read_once_for_each_site(monkeypatch):
+    calls, read = [], pages._line
+    monkeypatch.setattr(pages, "_line", lambda words, raw, *of: calls.append((raw, *of)) or read(words, raw, *of))
+    words, text = pages._Words(), "Home | News | Zebra 12\nThe report of zebra was read in full.\n" * 2 + "x" * 400
+    made = [pages._page(words, text, host, web, site) for host, web, site in (("zebra.test", True, "zebra"), ("okapi.test", True, "okapi"), (None, True, ""), ("zebra.test", False, "zebra")) * 2]
+    assert len(calls) == len(set(calls)) + 4 == 20  # the empty line never comes; only the long line is read again
+    assert made[:4] == made[4:] and made == [pages._page(pages._Words(), text, h, w, s) for h, w, s in (("zebra.test", True, "zebra"), ("okapi.test", True, "okapi"), (None, True, ""), ("zebra.test", False, "zebra")) * 2]
+    assert made[0][2][0] != made[1][2][0] and made[2][2] == [None] * 5 and made[0][0][0] == "f" and made[3][0][0] == "t"
