@@ -90,3 +90,12 @@ def test_masks_cover_two_differences():
     for a in range(7):
         for b in range(7):
             assert any(a not in kept and b not in kept for kept in neardup.MASKS)
+
+
+def test_chunks_between_white_space_are_read_once():
+    from evigraph.llm.neardup import Sketcher
+
+    s = Sketcher()
+    text = "The grid-code, of_the GRID\u00a0fails.\n-- the grid-code of the grid fails"
+    assert s.grams(text).tolist() == Sketcher().grams("the grid code of the grid fails the grid code of the grid fails").tolist()
+    assert set(s.words) == {"the", "grid-code,", "of_the", "grid", "fails.", "--", "grid-code", "of", "fails"} and not len(s.grams("-- grid _ code"))
